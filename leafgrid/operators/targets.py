@@ -48,7 +48,7 @@ def allocate_targets(
         )
         settled = ranked.filter(~F.col("mixed"))
         if not contested.filter("mixed").isEmpty():
-            mixed = ranked.filter("mixed")
+            mixed = scratch.store(ranked.filter("mixed"), "mixed")
             held = held.withColumn("family", copy_family(F.col("base"))).join(
                 contested.filter("mixed"), place, "left_semi"
             )
@@ -203,4 +203,4 @@ def _settle(
         files = moved.drop("last_n")
         still = moved.filter(F.col("n") != F.col("last_n")).isEmpty()
         if still and blocks.filter(F.col("stands") != F.col("stood")).isEmpty():
-            return files
+            return files.drop("rank")
