@@ -50,6 +50,7 @@ def read_grid_multiline(
         quote='"',
         escape='"',
         nullValue="\x00",
+        lineSep="\n",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
@@ -60,6 +61,14 @@ def read_grid_multiline(
         F.monotonically_increasing_id().alias("seen"),
     )
     given = F.filter("value", lambda v: v.isNotNull())
+    # With a line feed inside the first cells the reader takes that for the line
+    # end and leaves the carriage return of a CRLF file on the last cell.
+    given = F.transform(
+        given,
+        lambda v, i: F.when(
+            i == F.size(given) - 1, F.regexp_replace(v, r"\r\z", "")
+        ).otherwise(v),
+    )
     return _as_grid(rows.join(_split_starts(rows), ["file", "block"]), tab, given)
 
 
