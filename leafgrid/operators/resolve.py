@@ -29,8 +29,11 @@ def name_index(
     edges = child_edges(in_corpora(files, corpora)).select(
         "parent", F.lower("name").alias("lname"), "id", is_folder().alias("folder")
     )
-    if wanted is not None and _fits_broadcast(wanted):
-        edges = edges.join(F.broadcast(wanted), "lname", "left_semi")
+    if wanted is not None:
+        size = F.sum(F.octet_length("lname") + 16)
+        wanted, seen = scratch.measure(wanted, "wanted", size=size)
+        if (seen["size"] or 0) <= NAME_FILTER_BYTES:
+            edges = edges.join(F.broadcast(wanted), "lname", "left_semi")
     return edges.groupBy("parent", "lname").agg(
         F.count_if("folder").alias("folders"),
         F.count(F.lit(1)).alias("items"),
@@ -174,20 +177,20 @@ def _descend(
     still open are counted every few levels, so the longest path that gets
     anywhere sets the number of joins, not the longest text.
     """
-    state = scratch.store(state, "paths")
+    def still_open(done: int):
+        return F.count_if(F.col("status").isNull() & (F.size("rest") > done))
+
+    state, seen = scratch.measure(state, "paths", open=still_open(0))
     names = state.filter(F.col("status").isNull()).select(
         F.explode(F.transform("rest", lambda s: F.lower(s))).alias("lname")
     )
     index = scratch.store(name_index(files, corpora, names.distinct()), "names")
     done = 0
-    while True:
-        open_paths = F.col("status").isNull() & (F.size("rest") > done)
-        if state.filter(open_paths).isEmpty():
-            break
+    while seen["open"]:
         for position in range(done, done + LEVELS_PER_JOB):
             state = _one_segment(state, index, position, allow_files)
-        state = scratch.store(state, "paths")
         done += LEVELS_PER_JOB
+        state, seen = scratch.measure(state, "paths", open=still_open(done))
     return state
 
 
@@ -244,8 +247,3 @@ def _back_to_requests(requests: DataFrame, state: DataFrame) -> DataFrame:
         F.when(~ok, F.col("at_folder")).alias("at_folder"),
     )
     return requests.join(results, "path", "left")
-
-
-def _fits_broadcast(names: DataFrame) -> bool:
-    size = names.agg(F.sum(F.octet_length("lname") + 16)).first()[0] or 0
-    return size <= NAME_FILTER_BYTES

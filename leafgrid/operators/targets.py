@@ -33,21 +33,25 @@ def allocate_targets(
         "family", copy_family(F.col("base"))
     )
     held = _held_names(manifest, existing)
-    contested = scratch.store(_contested_families(files, held), "contested")
+    contested, seen = scratch.measure(
+        _contested_families(files, held),
+        "contested",
+        biggest=F.max("biggest"),
+        mixed=F.count_if("mixed"),
+    )
     place = ["dir", "family"]
 
     plain = files.join(contested, place, "left_anti").withColumn(
         "n", F.lit(0).cast("long")
     )
-    biggest = contested.agg(F.max("biggest")).first()[0] or 0
-    if biggest:
+    if seen["biggest"]:
         clashing = scratch.store(files.join(contested, place), "clashing")
-        spread = biggest > hot_rows
+        spread = seen["biggest"] > hot_rows
         ranked = prefix_sum(
             clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, hot_rows
         )
         settled = ranked.filter(~F.col("mixed"))
-        if not contested.filter("mixed").isEmpty():
+        if seen["mixed"]:
             mixed = scratch.store(ranked.filter("mixed"), "mixed")
             held = held.withColumn("family", copy_family(F.col("base"))).join(
                 contested.filter("mixed"), place, "left_semi"
@@ -102,7 +106,6 @@ def _contested_families(files: DataFrame, held: DataFrame) -> DataFrame:
             F.sum("n").alias("files"),
             F.count_if(F.col("n") > 0).alias("names"),
             F.count_if(F.col("n") == 0).alias("held"),
-            F.max("n").alias("biggest_name"),
         )
         .filter((F.col("files") > F.col("names")) | (F.col("held") > 0))
         .filter(F.col("files") > 0)
@@ -110,7 +113,7 @@ def _contested_families(files: DataFrame, held: DataFrame) -> DataFrame:
             "dir",
             "family",
             ((F.col("names") > 1) | (F.col("held") > 0)).alias("mixed"),
-            F.col("files").alias("biggest"),
+            (F.col("files") + F.col("held")).alias("biggest"),
         )
     )
 
@@ -180,7 +183,11 @@ def _settle(
         # It stands if those files have not reached its number.
         lower = before(ahead, ["n"], F.col("stood").cast("long"), "lower")
         stands = F.col("ahead") <= F.col("n") - F.col("lower")
-        blocks = scratch.store(lower.withColumn("stands", stands), "blocks")
+        blocks, flips = scratch.measure(
+            lower.withColumn("stands", stands),
+            "blocks",
+            flipped=F.count_if(F.col("stands") != F.col("stood")),
+        )
 
         # A file's number is its rank plus the standing blocks it has to pass.
         standing = before(blocks.filter("stands"), ["n"], F.lit(1), "below")
@@ -193,14 +200,14 @@ def _settle(
             marks, allowMissingColumns=True
         )
         passed = before(merged, ["rank", "is_file"], 1 - F.col("is_file"), "passed")
-        moved = scratch.store(
+        renumbered, moves = scratch.measure(
             passed.filter(F.col("is_file") == 1)
             .withColumn("last_n", F.col("n"))
             .withColumn("n", F.col("rank") + F.col("passed"))
             .drop("is_file", "passed"),
             "numbered",
+            moved=F.count_if(F.col("n") != F.col("last_n")),
         )
-        files = moved.drop("last_n")
-        still = moved.filter(F.col("n") != F.col("last_n")).isEmpty()
-        if still and blocks.filter(F.col("stands") != F.col("stood")).isEmpty():
+        files = renumbered.drop("last_n")
+        if not moves["moved"] and not flips["flipped"]:
             return files.drop("rank")

@@ -42,11 +42,14 @@ def walk_tree(files: DataFrame, root_id: str, depth: int | None = None) -> DataF
     within = F.lit(True) if depth is None else level + 1 < depth
     return (
         edges.join(folders, F.col("parent") == F.col("folder_id"))
-        .filter(_is_new(root_id))
-        .withColumn("depth", level)
-        .withColumn("descended", is_folder() & within)
-        .withColumn("sort_key", _extended_key())
-        .drop("parent", "folder_id")
+        .filter(~is_folder() | _is_new(root_id))
+        .select(
+            *files.columns,
+            "ancestors",
+            level.alias("depth"),
+            (is_folder() & within).alias("descended"),
+            _extended_key().alias("sort_key"),
+        )
     )
 
 
@@ -58,10 +61,11 @@ def walked_folders(
 ) -> DataFrame:
     """The root and every folder the walk descends into.
 
-    Folder edges are shuffled once, by parent, and kept on disk for all levels;
-    each level shuffles only the folders found by the level before. A parent
-    with very many subfolders is spread over several partitions. Each level is
-    written as a table, so Catalyst broadcasts a small one by its true size.
+    The catalog is read once, for its folder edges. More than ``hot_rows`` of
+    them are shuffled once, by parent, and kept for all levels; each level then
+    shuffles only the folders the level before has found. A parent with very
+    many subfolders is spread over several partitions. Each level is written as
+    a table, so Catalyst broadcasts a small one by its true size.
     """
     spark = edges.sparkSession
     path = scratch.new_path(spark, "folders")
@@ -72,27 +76,32 @@ def walked_folders(
             "CAST(array() AS ARRAY<STRUCT<is_file: BOOLEAN, lname: STRING, id: STRING>>)"
         ).alias("sort_key"),
     )
-    root.write.parquet(f"{path}/level=0")
+    rows = F.count(F.lit(1))
+    found, _ = scratch.measure(root, "root", f"{path}/level=0", rows=rows)
 
     if depth is None or depth > 1:
-        folder_edges = edges.filter(is_folder()).select(
-            "parent", "id", "name", "mimeType"
-        )
-        hot = scratch.store(skew.hot_keys(folder_edges, "parent", hot_rows), "hot")
-        parts = skew.shuffle_partitions(edges)
-        spread = (
-            skew.spread_many(folder_edges, "parent", "id", hot)
-            .repartition(parts, "parent", "slot")
-            .persist(StorageLevel.DISK_ONLY)
+        folder_edges, size = scratch.measure(
+            edges.filter(is_folder()).select("parent", "id", "name", "mimeType"),
+            "folder-edges",
+            rows=rows,
         )
+        large = size["rows"] > hot_rows
+        keys = ["parent"]
+        if large:
+            keys = ["parent", "slot"]
+            hot = scratch.store(skew.hot_keys(folder_edges, "parent", hot_rows), "hot")
+            folder_edges = (
+                skew.spread_many(folder_edges, "parent", "id", hot)
+                .repartition(skew.shuffle_partitions(edges), *keys)
+                .persist(StorageLevel.DISK_ONLY)
+            )
         level = 0
         while depth is None or level + 1 < depth:
-            found = spark.read.schema(FOLDER_COLUMNS).parquet(f"{path}/level={level}")
-            frontier = skew.spread_one(
-                found.withColumnRenamed("folder_id", "parent"), "parent", hot
-            )
+            frontier = found.withColumnRenamed("folder_id", "parent")
+            if large:
+                frontier = skew.spread_one(frontier, "parent", hot)
             below = (
-                frontier.join(spread, ["parent", "slot"])
+                frontier.join(folder_edges, keys)
                 .filter(_is_new(root_id))
                 .select(
                     F.col("id").alias("folder_id"),
@@ -101,11 +110,13 @@ def walked_folders(
                 )
             )
             level += 1
-            below.write.parquet(f"{path}/level={level}")
-            written = spark.read.schema(FOLDER_COLUMNS).parquet(f"{path}/level={level}")
-            if written.isEmpty():
+            found, size = scratch.measure(
+                below, "level", f"{path}/level={level}", rows=rows
+            )
+            if not size["rows"]:
                 break
-        spread.unpersist()
+        if large:
+            folder_edges.unpersist()
 
     return spark.read.schema(FOLDER_COLUMNS).parquet(path).select(
         "folder_id", "ancestors", "sort_key"

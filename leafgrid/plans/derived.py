@@ -6,10 +6,11 @@ tables grows with them. ``ALL`` is a folder above all drives.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafgrid.functions.catalog import FOLDER_MIME
 from leafgrid.schemas import FILE
@@ -27,16 +28,23 @@ ORDER_MIMES = [
 ]
 
 
+@lru_cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _records(df: DataFrame, **fields: str) -> DataFrame:
-    columns = [
-        F.expr(fields.get(f.name, "NULL")).cast(f.dataType).alias(f.name)
-        for f in FILE.fields
-    ]
-    return df.select(*columns)
+    return df.selectExpr(
+        *[
+            f"CAST({fields.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in FILE.fields
+        ]
+    )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,16 +311,20 @@ def q_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_targets_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered names that meet real ones: each part name also as its copy 1 and
-    2, and a path that is already there."""
+    """Numbered names that meet real ones: parts by turns under their name and
+    as a copy 1 or 2 of it, with the plain names already on disk."""
+    turn = F.substring("id", 2, 20).try_cast("long") % 3
+    copy = F.concat(F.lit(" ("), turn.cast("string"), F.lit(")$1"))
     manifest = _manifest(spark, sf_dir, ".").withColumn(
         "base",
         F.when(
-            F.col("id").startswith("P"),
-            F.regexp_replace("base", r"(\.[A-Z])", " (1)$1"),
+            F.col("id").startswith("P") & (turn > 0),
+            F.regexp_replace("base", F.lit(r"(\.[A-Z])"), copy),
         ).otherwise(F.col("base")),
     )
-    return targets.allocate_targets(scratch.store(manifest, "manifest"), _present(spark, sf_dir)).select("id", "target")
+    return targets.allocate_targets(
+        scratch.store(manifest, "manifest"), _present(spark, sf_dir)
+    ).select("id", "target")
 
 
 def _present(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folder: str | None = None
 
@@ -40,3 +40,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measure(df: DataFrame, name: str, path: str | None = None, **metrics: Column):
+    """Like ``store``, with aggregates of the rows taken while they are written.
+
+    Gives the table read back and the aggregates by name, without a second job.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
