@@ -136,16 +136,26 @@ def size_in_bytes(size: Column | str = "size") -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes in the largest fitting unit, one decimal, exact ties to even."""
-    x = n.cast("double")
-    out = None
-    for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        scaled = x / float(1024**power)
-        text = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
-        out = F.when(scaled < 1024, text) if out is None else out.when(
-            scaled < 1024, text
-        )
-    return out.otherwise(F.format_string("%.1f PB", F.bround(x / float(1024**5), 1)))
+    """Bytes in the largest fitting unit, one decimal, exact ties to even.
+
+    The tenths are counted in whole numbers: rounding the quotient as text or as
+    a double takes some values near a tie the wrong way.
+    """
+    size = n.cast("double").cast("decimal(20,0)")
+    out = F.when(size < 1024, F.concat(_tenths(size, 0), F.lit(" B")))
+    for power, unit in enumerate((" KB", " MB", " GB", " TB"), start=1):
+        text = F.concat(_tenths(size, power), F.lit(unit))
+        out = out.when(size < 1024 ** (power + 1), text)
+    return out.otherwise(F.concat(_tenths(size, 5), F.lit(" PB")))
+
+
+def _tenths(size: Column, power: int) -> Column:
+    unit = F.lit(1024**power).cast("decimal(20,0)")
+    rest = (size * 10) % unit
+    whole = ((size * 10 - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    tenths = whole + up.cast("long")
+    return F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10)
 
 
 def _col(c: Column | str) -> Column:

@@ -1,0 +1,208 @@
+import pytest
+from helpers import catalog, file, folder
+from pyspark.sql import functions as F
+
+from leafgrid.operators import resolve
+from leafgrid.operators.children import get_metadata
+from leafgrid.operators.links import link_inventory
+from leafgrid.operators.lookup import find_drive, match_drive_prefix
+from leafgrid.operators.resolve import (
+    ambiguous_names, resolve_paths, resolve_shared_paths, resolve_sources, route_sources,
+)
+from leafgrid.plans.browse import list_path, list_shared
+from leafgrid.schemas import DRIVE_CATALOG
+
+
+def drives(spark, *rows):
+    rows = rows or [("root", "My Drive"), ("d1", "Team"), ("d2", "Team/Ops"), ("d3", "team")]
+    return spark.createDataFrame(
+        [(id, "shared", name, "", i) for i, (id, name) in enumerate(rows)], DRIVE_CATALOG
+    )
+
+
+def paths(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "path string")
+
+
+def outcome(df):
+    return {r["path"]: (r["id"], r["status"], r["segment"], r["kind"]) for r in df.collect()}
+
+
+def test_first_drive_of_a_name_is_found(spark):
+    names = spark.createDataFrame([("TEAM",), ("my drive",), ("none",)], "name string")
+    got = {r["name"]: r["drive_id"] for r in find_drive(names, drives(spark)).collect()}
+    assert got == {"TEAM": "d1", "my drive": "root", "none": None}
+
+
+def test_longest_drive_prefix(spark):
+    requests = paths(spark, "/team/ops/a/b/", "Team/x", "My Drive", "who/knows", "")
+    got = {
+        r["path"]: (r["drive_id"], r["rest"])
+        for r in match_drive_prefix(requests, drives(spark)).collect()
+    }
+    assert got == {
+        "/team/ops/a/b/": ("d2", ["a", "b"]), "Team/x": ("d1", ["x"]),
+        "My Drive": ("root", []), "who/knows": (None, None), "": (None, None),
+    }
+
+
+def tree(spark):
+    return catalog(
+        spark,
+        [
+            folder("a", "A", "root"),
+            folder("b", "b", "a"),
+            file("readme", "readme.txt", "b"),
+            folder("r1", "reports", "a"),
+            folder("r2", "Reports", "a"),
+            folder("q", "only here", "r1"),
+            file("same", "b", "a"),
+            folder("gone", "old", "root", trashed=True),
+        ],
+    )
+
+
+def test_paths_with_folders_only(spark):
+    requests = paths(
+        spark, "My Drive", "my drive/a/B", "My Drive/a/b/readme.txt", "My Drive/nope/x",
+        "My Drive/a/reports/only here", "My Drive/old", "Elsewhere/a", "My Drive/a//b",
+    )
+    assert outcome(resolve_paths(requests, tree(spark), drives(spark))) == {
+        "My Drive": ("root", "ok", None, None),
+        "my drive/a/B": ("b", "ok", None, None),
+        "My Drive/a/b/readme.txt": (None, "not_found", "readme.txt", "folder"),
+        "My Drive/nope/x": (None, "not_found", "nope", "folder"),
+        "My Drive/a/reports/only here": (None, "ambiguous", "reports", "folder"),
+        "My Drive/old": (None, "not_found", "old", "folder"),
+        "Elsewhere/a": (None, "no_drive", "Elsewhere", "drive"),
+        "My Drive/a//b": (None, "not_found", "", "folder"),
+    }
+
+
+def test_the_last_name_may_be_a_file(spark):
+    requests = paths(
+        spark, "My Drive/A/b/README.txt", "My Drive/a/b", "My Drive/a/b/readme.txt/x",
+        "My Drive/a/zzz",
+    )
+    got = outcome(resolve_paths(requests, tree(spark), drives(spark), allow_files=True))
+    assert got == {
+        "My Drive/A/b/README.txt": ("readme", "ok", None, None),
+        "My Drive/a/b": (None, "ambiguous", "b", "file or folder"),
+        "My Drive/a/b/readme.txt/x": (None, "not_found", "readme.txt", "folder"),
+        "My Drive/a/zzz": (None, "not_found", "zzz", "file or folder"),
+    }
+
+
+def test_deep_paths_take_several_jobs(spark, monkeypatch):
+    rows = [folder(f"f{i}", f"n{i}", f"f{i - 1}" if i else "root") for i in range(11)]
+    deep = "My Drive/" + "/".join(f"n{i}" for i in range(11))
+    requests = paths(spark, deep, deep + "/more", "My Drive/n0/x" + "/y" * 40)
+    monkeypatch.setattr(resolve, "NAME_FILTER_BYTES", 0)
+    assert outcome(resolve_paths(requests, catalog(spark, rows), drives(spark))) == {
+        deep: ("f10", "ok", None, None),
+        deep + "/more": (None, "not_found", "more", "folder"),
+        "My Drive/n0/x" + "/y" * 40: (None, "not_found", "x", "folder"),
+    }
+
+
+def test_repeated_requests_keep_their_rows(spark):
+    requests = paths(spark, "My Drive/a", "My Drive/a", "My Drive/a").withColumn(
+        "n", F.monotonically_increasing_id()
+    )
+    rows = resolve_paths(requests, tree(spark), drives(spark)).collect()
+    assert [r["id"] for r in rows] == ["a"] * 3 and len({r["n"] for r in rows}) == 3
+
+
+def shared(spark):
+    when = {"sharedWithMeTime": "2026-01-01T00:00:00Z"}
+    return catalog(
+        spark,
+        [
+            folder("s", "Shared Dir", **when),
+            folder("sub", "sub", "s"),
+            file("inner", "x.txt", "sub"),
+            folder("team", "team", "s", driveId="d1"),
+            file("doc", "doc.txt", **when),
+            folder("u1", "dup", **when),
+            folder("u2", "DUP", **when),
+        ],
+    )
+
+
+@pytest.mark.parametrize("allow_files", [False, True])
+def test_paths_from_shared_items(spark, allow_files):
+    requests = paths(
+        spark, "missing", "dup/x", "shared dir", "doc.txt", "doc.txt/sub", "Shared Dir/SUB",
+        "shared dir/sub/x.txt", "shared dir/team",
+    )
+    got = outcome(resolve_shared_paths(requests, shared(spark), allow_files))
+    file_ok = ("doc", "ok", None, None) if allow_files else (None, "not_a_folder", "doc.txt", "shared item")
+    inner = ("inner", "ok", None, None) if allow_files else (None, "not_found", "x.txt", "folder")
+    what = "file or folder" if allow_files else "folder"
+    assert got == {
+        "missing": (None, "not_found", "missing", "shared item"),
+        "dup/x": (None, "ambiguous", "dup", "shared item"),
+        "shared dir": ("s", "ok", None, None),
+        "doc.txt": file_ok,
+        "doc.txt/sub": (None, "not_a_folder", "doc.txt", "shared item"),
+        "Shared Dir/SUB": ("sub", "ok", None, None),
+        "shared dir/sub/x.txt": inner,
+        "shared dir/team": (None, "not_found", "team", what),
+    }
+
+
+def test_report_of_ambiguous_names(spark):
+    rows = ambiguous_names(tree(spark)).orderBy("id").collect()
+    assert [(r["location"], r["kind"], r["name"], r["id"], r["owner"], r["matches"]) for r in rows] == [
+        ("a", "folder", "b", "b", "unknown", 2), ("a", "folder", "reports", "r1", "unknown", 2),
+        ("a", "folder", "Reports", "r2", "unknown", 2), ("a", "file", "b", "same", "unknown", 2),
+    ]
+
+
+def test_routes(spark):
+    url, bad = "https://docs.google.com/d/SHEET/edit", "https://drive.google.com/drive/my-drive"
+    sources = spark.createDataFrame([(s,) for s in (url, bad, "My Drive/a", "BARE")], "source string")
+
+    def routes(policy):
+        return [(r["route"], r["id"]) for r in route_sources(sources, policy).collect()]
+
+    assert routes("sheets") == [("url", "SHEET"), ("url", None), ("path", None), ("id", "BARE")]
+    assert routes("download") == [("url", "SHEET"), ("url", None), ("path", None), ("path", None)]
+    assert routes("export") == [("url", "SHEET"), ("url", None), ("id", "My Drive/a"), ("id", "BARE")]
+    with pytest.raises(ValueError):
+        route_sources(sources, "other")
+    done = resolve_sources(sources, "sheets", tree(spark), drives(spark)).collect()
+    assert {r["source"]: (r["id"], r["status"]) for r in done} == {
+        url: ("SHEET", "ok"), bad: (None, "no_id_in_url"), "My Drive/a": ("a", "ok"), "BARE": ("BARE", "ok"),
+    }
+
+
+def test_link_inventory(spark):
+    links = spark.createDataFrame(
+        [
+            ("https://drive.google.com/file/d/X/view?usp=1",), ("https://drive.google.com/open?id=X",),
+            ("https://x.org/a?b",), ("https://x.org/a?b",),
+        ],
+        "link string",
+    )
+    got = {(r["id"], r["url"], r["n_links"], r["status"]) for r in link_inventory(links).collect()}
+    assert got == {
+        ("X", "https://drive.google.com/file/d/X", 2, "ok"), (None, "https://x.org/a?b", 2, "no_id"),
+    }
+
+
+def test_metadata_of_ids(spark):
+    ids = spark.createDataFrame([("a",), ("a",), ("nope",)], "id string")
+    rows = get_metadata(tree(spark), ids).collect()
+    assert [tuple(r) for r in rows] == [("a", "A", "application/vnd.google-apps.folder")]
+
+
+def test_listings_by_path(spark):
+    rows = list_path(tree(spark), drives(spark), "my drive/a").orderBy("sort_key").collect()
+    assert [r["path"] for r in rows] == ["b/", "reports/", "Reports/", "b"]
+    with pytest.raises(ValueError, match="not_found"):
+        list_path(tree(spark), drives(spark), "My Drive/none")
+    top = list_shared(shared(spark)).orderBy("sort_key").collect()
+    assert [r["path"] for r in top] == ["dup/", "DUP/", "Shared Dir/", "doc.txt"]
+    below = list_shared(shared(spark), "Shared Dir", None).orderBy("sort_key").collect()
+    assert [r["path"] for r in below] == ["sub/", "sub/x.txt", "team/"]
