@@ -26,7 +26,11 @@ FOLDER_MIME = "application/vnd.google-apps.folder"
 NATIVE_PREFIX = "application/vnd.google-apps."
 
 # Export extension of a native type, and MIME type of an extension.
-EXPORT_EXTENSIONS = {"gdoc": ".docx", "gsheet": ".xlsx", "gslides": ".pptx"}
+EXPORT_EXTENSIONS = {
+    "application/vnd.google-apps.document": ".docx",
+    "application/vnd.google-apps.spreadsheet": ".xlsx",
+    "application/vnd.google-apps.presentation": ".pptx",
+}
 EXPORT_MIME_TYPES = {
     ".csv": "text/csv",
     ".docx": "application/vnd.openxmlformats-officedocument"
@@ -141,7 +145,7 @@ def format_bytes(n: Column) -> Column:
     The tenths are counted in whole numbers: rounding the quotient as text or as
     a double takes some values near a tie the wrong way.
     """
-    size = n.cast("double").cast("decimal(20,0)")
+    size = F.coalesce(n.cast("double").try_cast("long"), n)
     out = F.when(size < 1024, F.concat(_tenths(size, 0), F.lit(" B")))
     for power, unit in enumerate((" KB", " MB", " GB", " TB"), start=1):
         text = F.concat(_tenths(size, power), F.lit(unit))
@@ -150,10 +154,11 @@ def format_bytes(n: Column) -> Column:
 
 
 def _tenths(size: Column, power: int) -> Column:
-    unit = F.lit(1024**power).cast("decimal(20,0)")
-    rest = (size * 10) % unit
-    whole = ((size * 10 - rest) / unit).cast("long")
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    unit = 1024**power
+    part = size.bitwiseAND(unit - 1) * 10
+    whole = F.shiftright(size, 10 * power) * 10 + F.shiftright(part, 10 * power)
+    rest = part.bitwiseAND(unit - 1) * 2
+    up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
     tenths = whole + up.cast("long")
     return F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10)
 

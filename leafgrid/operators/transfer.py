@@ -9,7 +9,6 @@ from leafgrid.functions.catalog import (
     EXPORT_EXTENSIONS,
     EXPORT_MIME_TYPES,
     extract_id,
-    file_type,
     is_folder,
     is_native,
     lookup,
@@ -19,7 +18,7 @@ from leafgrid.functions.names import safe_filename, suffix
 
 
 def export_extension() -> Column:
-    return lookup(EXPORT_EXTENSIONS, file_type())
+    return lookup(EXPORT_EXTENSIONS, F.col("mimeType"))
 
 
 def disposition() -> Column:
@@ -38,24 +37,22 @@ def classify(files: DataFrame) -> DataFrame:
 
 def summarize(walk: DataFrame) -> DataFrame:
     """Six totals of a walk in one pass; zeros for an empty one."""
-    kind = F.when(is_folder(), F.lit("folder")).otherwise(disposition())
-    binary = F.col("kind") == "binary"
-    return (
-        walk.select(kind.alias("kind"), "descended", size_in_bytes().alias("bytes"))
-        .agg(
-            F.count_if(binary).alias("binary_files"),
-            F.coalesce(F.sum(F.when(binary, F.col("bytes"))), F.lit(0)).alias(
-                "binary_bytes"
-            ),
-            F.count_if(F.col("kind") == "export").alias("auto_export"),
-            F.count_if(F.col("kind") == "skip").alias("skipped_natives"),
-            F.count_if((F.col("kind") == "folder") & F.col("descended")).alias(
-                "subfolders"
-            ),
-            F.count_if((F.col("kind") == "folder") & ~F.col("descended")).alias(
-                "skipped_subfolders"
-            ),
-        )
+    return totals(walk.select(_action().alias("action"), _bytes().alias("bytes")))
+
+
+def totals(manifest: DataFrame) -> DataFrame:
+    """The six totals, from the actions and sizes of a manifest."""
+
+    def entries(action: str) -> Column:
+        return F.count_if(F.col("action") == action)
+
+    return manifest.agg(
+        entries("binary").alias("binary_files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("binary_bytes"),
+        entries("export").alias("auto_export"),
+        entries("skip_native").alias("skipped_natives"),
+        entries("mkdir").alias("subfolders"),
+        entries("skip_depth").alias("skipped_subfolders"),
     )
 
 
@@ -63,24 +60,16 @@ def transfer_manifest(walk: DataFrame, out_dir: str) -> DataFrame:
     """One row per walked entry: what happens to it, where, under which name.
 
     ``action`` is ``mkdir``, ``skip_depth``, ``skip_native``, ``export`` or
-    ``binary``. ``dir`` is the parent directory, ``base`` the wanted name.
+    ``binary``. ``dir`` is the parent directory, ``base`` the wanted name,
+    ``bytes`` the size of a binary file.
     """
-    base = safe_filename(F.col("name"))
-    kind = disposition()
-    action = (
-        F.when(is_folder() & F.col("descended"), F.lit("mkdir"))
-        .when(is_folder(), F.lit("skip_depth"))
-        .when(kind == "skip", F.lit("skip_native"))
-        .otherwise(kind)
-    )
-    folders = F.transform("ancestors", safe_filename)
+    extension = F.coalesce(export_extension(), F.lit(""))
     return walk.select(
         "id",
-        action.alias("action"),
-        _joined(_clean(out_dir), folders).alias("dir"),
-        F.when(kind == "export", F.concat(base, export_extension()))
-        .otherwise(base)
-        .alias("base"),
+        _action().alias("action"),
+        _directory(_clean(out_dir)).alias("dir"),
+        F.concat(safe_filename(F.col("name")), extension).alias("base"),
+        _bytes().alias("bytes"),
         "depth",
         "sort_key",
     )
@@ -165,11 +154,23 @@ def _clean(out_dir: str) -> str:
     return root + "/".join(parts) or "."
 
 
-def _joined(out_dir: str, folders: Column) -> Column:
-    below = F.array_join(folders, "/")
-    if out_dir == ".":
-        return F.when(F.size(folders) == 0, F.lit(".")).otherwise(below)
-    start = out_dir if out_dir == "/" else out_dir + "/"
-    return F.when(F.size(folders) == 0, F.lit(out_dir)).otherwise(
+def _directory(out_dir: str) -> Column:
+    below = F.array_join(F.transform("ancestors", safe_filename), "/")
+    start = {".": "", "/": "/"}.get(out_dir, out_dir + "/")
+    return F.when(F.size("ancestors") == 0, F.lit(out_dir)).otherwise(
         F.concat(F.lit(start), below)
     )
+
+
+def _action() -> Column:
+    kind = disposition()
+    return (
+        F.when(is_folder() & F.col("descended"), F.lit("mkdir"))
+        .when(is_folder(), F.lit("skip_depth"))
+        .when(kind == "skip", F.lit("skip_native"))
+        .otherwise(kind)
+    )
+
+
+def _bytes() -> Column:
+    return F.when(~is_native(), size_in_bytes()).otherwise(F.lit(0))

@@ -13,7 +13,7 @@ from leafgrid.operators.targets import allocate_targets
 from leafgrid.operators.transfer import (
     path_conflicts,
     single_file_walk,
-    summarize,
+    totals,
     transfer_manifest,
 )
 from leafgrid.operators.walk import walk_tree
@@ -36,22 +36,18 @@ def plan_download(
 ) -> DownloadPlan:
     """Plan the transfer of a folder, or of one file, into ``out_dir``.
 
-    The tree is walked once and the rows are kept; the totals, the manifest and
-    the conflicts are made from those rows. With nothing to transfer the
-    manifest is empty.
+    The tree is walked once, into a stored manifest; the totals, the targets and
+    the conflicts all come from its rows. With nothing to transfer the manifest
+    is empty.
     """
     source = files.filter(F.col("id") == source_id)
     alone = source.filter(~is_folder())
     single = not alone.isEmpty()
     walk = single_file_walk(alone) if single else walk_tree(files, source_id, depth)
-    columns = ["id", "name", "mimeType", "size"]
-    columns += ["ancestors", "depth", "descended", "sort_key"]
-    walk = scratch.store(walk.select(columns), "walk")
-
-    summary = scratch.store(summarize(walk), "summary")
-    manifest = transfer_manifest(walk, out_dir)
-    totals = summary.first()
-    if not single and totals["binary_files"] + totals["auto_export"] == 0:
-        manifest = manifest.limit(0)
-    targets = allocate_targets(manifest, existing)
+    manifest = scratch.store(transfer_manifest(walk, out_dir), "manifest")
+    summary = scratch.store(totals(manifest), "summary")
+    planned = summary.first()
+    if not single and planned["binary_files"] + planned["auto_export"] == 0:
+        manifest = manifest.filter(F.lit(False))
+    targets = scratch.store(allocate_targets(manifest, existing), "targets")
     return DownloadPlan(summary, targets, path_conflicts(targets, existing))

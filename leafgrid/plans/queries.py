@@ -356,7 +356,8 @@ def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = scratch.store(_manifest(spark, sf_dir, "."), "manifest")
     present = _present(spark, sf_dir)
-    return transfer.path_conflicts(targets.allocate_targets(manifest, present), present)
+    placed = scratch.store(targets.allocate_targets(manifest, present), "targets")
+    return transfer.path_conflicts(placed, present)
 
 
 @query

@@ -46,6 +46,8 @@ def measure(df: DataFrame, name: str, path: str | None = None, **metrics: Column
     """Like ``store``, with aggregates of the rows taken while they are written.
 
     Gives the table read back and the aggregates by name, without a second job.
+    A task run twice may be counted twice, so a sum here is an upper bound: use
+    it for "any" and "at most", never as a result.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
