@@ -54,7 +54,8 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def is_folder(mime: Column | str = "mimeType") -> Column:
-    return F.coalesce(_col(mime) == FOLDER_MIME, F.lit(False))
+    """Never null, and pushed down to a Parquet scan when filtered on."""
+    return _col(mime).eqNullSafe(FOLDER_MIME)
 
 
 def is_native(mime: Column | str = "mimeType") -> Column:
@@ -62,7 +63,7 @@ def is_native(mime: Column | str = "mimeType") -> Column:
 
 
 def is_live() -> Column:
-    return ~F.coalesce(F.col("trashed"), F.lit(False))
+    return ~F.col("trashed").eqNullSafe(True)
 
 
 def file_type(mime: Column | str = "mimeType", name: Column | str = "name") -> Column:

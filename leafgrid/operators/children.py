@@ -18,7 +18,13 @@ def in_corpora(files: DataFrame, corpora: str) -> DataFrame:
 
 
 def child_edges(files: DataFrame) -> DataFrame:
-    """Each live file once for every parent it has."""
+    """Each live file once for every parent it has.
+
+    A table that has a ``parent`` column is taken as such edges already; see
+    ``leafgrid.sources.edges``.
+    """
+    if "parent" in files.columns:
+        return files
     parents = F.explode(F.array_distinct("parents"))
     return files.filter(is_live()).withColumn("parent", parents)
 
@@ -27,7 +33,10 @@ def list_children(
     files: DataFrame, folder_id: str, corpora: str = "allDrives"
 ) -> DataFrame:
     """Live direct children of a folder, folders first, then by name."""
-    inside = F.array_contains("parents", F.lit(folder_id))
+    if "parent" in files.columns:
+        inside = F.col("parent") == folder_id
+    else:
+        inside = F.array_contains("parents", F.lit(folder_id))
     return in_corpora(files, corpora).filter(is_live() & inside).orderBy(sort_struct())
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,13 +137,15 @@ def _settle(
     Every step is a join, a count or a prefix sum; no family is held by a task.
     """
 
+    place = ["dir", "family"]
+
     def before(df, order, value, out):
         return prefix_sum(df, GROUP, order, value, out, spread, hot_rows)
 
-    groups = ranked.select(*GROUP).distinct()
     files = ranked.withColumn("rank", F.col("n"))
-    blocks = None
-    while True:
+    blocks, done = None, []
+    for turn in count(1):
+        groups = files.select(*GROUP).distinct()
         claims = files.select(
             "dir",
             numbered(F.col("base"), F.col("n")).alias("name"),
@@ -210,4 +215,16 @@ def _settle(
         )
         files = renumbered.drop("last_n")
         if not moves["moved"] and not flips["flipped"]:
-            return files.drop("rank")
+            done.append(files)
+            return reduce(DataFrame.unionByName, done).drop("rank")
+
+        # Families do not touch one another: from the second round on, only
+        # those that still change stay in.
+        if turn > 1:
+            changed = renumbered.filter(F.col("n") != F.col("last_n")).select(*place)
+            flipped = blocks.filter(F.col("stands") != F.col("stood"))
+            flipped = flipped.select("dir", copy_family(F.col("base")).alias("family"))
+            changed = scratch.store(changed.union(flipped).distinct(), "changed")
+            done.append(files.join(changed, place, "left_anti"))
+            files = scratch.store(files.join(changed, place, "left_semi"), "files")
+            held = held.join(changed, place, "left_semi")

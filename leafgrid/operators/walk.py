@@ -37,14 +37,15 @@ def walk_tree(files: DataFrame, root_id: str, depth: int | None = None) -> DataF
     own ancestor is not entered again.
     """
     edges = child_edges(files)
-    folders = walked_folders(edges, root_id, depth)
+    folders, size = walked_folders(edges, root_id, depth)
+    folders = skew.sized(folders, size)
     level = F.size("ancestors")
     within = F.lit(True) if depth is None else level + 1 < depth
     return (
         edges.join(folders, F.col("parent") == F.col("folder_id"))
         .filter(~is_folder() | _is_new(root_id))
         .select(
-            *files.columns,
+            *[c for c in files.columns if c != "parent"],
             "ancestors",
             level.alias("depth"),
             (is_folder() & within).alias("descended"),
@@ -58,14 +59,14 @@ def walked_folders(
     root_id: str,
     depth: int | None = None,
     hot_rows: int = skew.HOT_ROWS,
-) -> DataFrame:
-    """The root and every folder the walk descends into.
+) -> tuple[DataFrame, int]:
+    """The root and every folder the walk descends into, and their size in bytes.
 
     The catalog is read once, for its folder edges. More than ``hot_rows`` of
     them are shuffled once, by parent, and kept for all levels; each level then
     shuffles only the folders the level before has found. A parent with very
     many subfolders is spread over several partitions. Each level is written as
-    a table, so Catalyst broadcasts a small one by its true size.
+    a table and measured, so that a small one is broadcast.
     """
     spark = edges.sparkSession
     path = scratch.new_path(spark, "folders")
@@ -77,15 +78,23 @@ def walked_folders(
         ).alias("sort_key"),
     )
     rows = F.count(F.lit(1))
-    found, _ = scratch.measure(root, "root", f"{path}/level=0", rows=rows)
+    size = F.sum(
+        F.octet_length(F.array_join("ancestors", ""))
+        + F.octet_length(F.array_join("sort_key.id", ""))
+        + F.octet_length(F.array_join("sort_key.lname", ""))
+        + F.size("sort_key") * 48
+        + 100
+    )
+    found, seen = scratch.measure(root, "root", f"{path}/level=0", size=size)
+    total = 0
 
     if depth is None or depth > 1:
-        folder_edges, size = scratch.measure(
+        folder_edges, edge_count = scratch.measure(
             edges.filter(is_folder()).select("parent", "id", "name", "mimeType"),
             "folder-edges",
             rows=rows,
         )
-        large = size["rows"] > hot_rows
+        large = edge_count["rows"] > hot_rows
         keys = ["parent"]
         if large:
             keys = ["parent", "slot"]
@@ -101,7 +110,7 @@ def walked_folders(
             if large:
                 frontier = skew.spread_one(frontier, "parent", hot)
             below = (
-                frontier.join(folder_edges, keys)
+                folder_edges.join(skew.sized(frontier, seen["size"]), keys)
                 .filter(_is_new(root_id))
                 .select(
                     F.col("id").alias("folder_id"),
@@ -110,17 +119,17 @@ def walked_folders(
                 )
             )
             level += 1
-            found, size = scratch.measure(
-                below, "level", f"{path}/level={level}", rows=rows
+            found, seen = scratch.measure(
+                below, "level", f"{path}/level={level}", rows=rows, size=size
             )
-            if not size["rows"]:
+            if not seen["rows"]:
                 break
+            total += seen["size"]
         if large:
             folder_edges.unpersist()
 
-    return spark.read.schema(FOLDER_COLUMNS).parquet(path).select(
-        "folder_id", "ancestors", "sort_key"
-    )
+    folders = spark.read.schema(FOLDER_COLUMNS).parquet(path)
+    return folders.select("folder_id", "ancestors", "sort_key"), total
 
 
 def listing(files: DataFrame, root_id: str, depth: int | None = None) -> DataFrame:

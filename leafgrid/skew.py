@@ -11,6 +11,21 @@ from leafgrid import scratch
 HOT_ROWS = 1_000_000
 
 
+# A side of a join is broadcast only when its rows hold at most this many bytes.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def sized(df: DataFrame, size: int | None) -> DataFrame:
+    """A join side of a measured size: broadcast if small, else sort-merged.
+
+    The size of compressed files says little about rows of nested arrays, so the
+    measured one decides, not the automatic threshold.
+    """
+    if (size or 0) <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    return df.hint("merge")
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -109,7 +109,8 @@ def test_a_parent_with_many_subfolders_is_spread(spark):
     rows = [folder(f"f{i}", f"n{i}", "r") for i in range(30)]
     rows += [folder(f"g{i}", "deep", f"f{i}") for i in range(0, 30, 3)]
     files = catalog(spark, rows)
-    found = walked_folders(child_edges(files), "r", hot_rows=4)
+    found, size = walked_folders(child_edges(files), "r", hot_rows=4)
+    assert size > 0
     assert found.count() == 41
     assert found.select("folder_id").distinct().count() == 41
 
@@ -167,3 +168,46 @@ def test_listing_columns_and_map(spark):
         "  - [c.PDF](https://drive.google.com/file/d/c)",
         "- [notes](https://drive.google.com/file/d/d)",
     ]
+
+
+def test_edges_by_parent_give_the_same_results(spark, tmp_path):
+    from leafgrid.sources.edges import read_edges, write_edges
+
+    files = catalog(
+        spark,
+        [
+            folder("1", "one", "r"), folder("2", "two", ["1", "r"]), file("3", "x", ["1", "2"]),
+            file("4", "gone", "r", trashed=True),
+        ],
+    )
+    write_edges(files, str(tmp_path / "edges"), 3)
+    edges = read_edges(spark, str(tmp_path / "edges"))
+    same = lambda df: [(r["id"], r["ancestors"]) for r in df.orderBy("sort_key").collect()]
+    assert same(walk_tree(edges, "r")) == same(walk_tree(files, "r"))
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert ids(list_children(edges, "r")) == ids(list_children(files, "r")) == ["1", "2"]
+
+
+def test_folder_and_parent_filters_reach_the_scan(spark, tmp_path, capsys):
+    from leafgrid.sources.edges import read_edges, write_edges
+
+    files = catalog(spark, [folder("1", "one", "r"), file("2", "x", "1")])
+    write_edges(files, str(tmp_path / "edges"))
+    edges = read_edges(spark, str(tmp_path / "edges"))
+    list_children(edges, "r").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(parent,r)" in plan and "Not(EqualNullSafe(trashed,true))" in plan
+
+
+def test_a_large_folder_table_is_not_broadcast(spark, monkeypatch, capsys):
+    from leafgrid import skew
+
+    files = catalog(
+        spark, [folder("1", "one", "r"), folder("2", "two", "1"), file("3", "x", "2")]
+    )
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    walk = walk_tree(files, "r")
+    assert names(walk) == ["one", "two", "x"]
+    walk.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
