@@ -77,18 +77,25 @@ def resolve_shared_paths(
     An item that ends the path may be a file only with ``allow_files``; an item
     with more to follow must be a folder (status ``not_a_folder``).
     """
+    # The grand total stands for an empty name, which asks for any shared item.
     shared = (
         shared_items(files)
-        .groupBy(F.lower("name").alias("shared_key"))
+        .select(F.lower("name").alias("key"), "id", is_folder().alias("folder"))
+        .rollup("key")
         .agg(
             F.count(F.lit(1)).alias("items"),
             F.min("id").alias("item"),
-            F.bool_and(is_folder()).alias("folder"),
+            F.bool_and("folder").alias("folder"),
+            F.grouping("key").alias("all"),
         )
+        .filter((F.col("all") == 1) | (F.col("key") != ""))
+        .withColumn("shared_key", F.when(F.col("all") == 0, F.col("key")).otherwise(""))
+        .drop("key", "all")
     )
     parts = path_parts()
     paths = requests.select("path").distinct().withColumn("parts", parts)
-    seeded = paths.join(shared, F.lower(F.get("parts", F.lit(0))) == F.col("shared_key"), "left")
+    first = F.lower(F.get("parts", F.lit(0)))
+    seeded = paths.join(shared, first == F.col("shared_key"), "left")
     only_one = F.size("parts") == 1
     usable = F.col("folder") | (only_one & F.lit(allow_files))
     status = (

@@ -16,6 +16,7 @@ from leafgrid.operators.transfer import (
     totals,
     transfer_manifest,
 )
+from leafgrid.operators.resolve import resolve_sources
 from leafgrid.operators.walk import walk_tree
 
 
@@ -51,3 +52,19 @@ def plan_download(
         manifest = manifest.filter(F.lit(False))
     targets = scratch.store(allocate_targets(manifest, existing), "targets")
     return DownloadPlan(summary, targets, path_conflicts(targets, existing))
+
+
+def plan_source(
+    files: DataFrame,
+    drives: DataFrame,
+    source: str,
+    out_dir: str = ".",
+    depth: int | None = None,
+    existing: DataFrame | None = None,
+) -> DownloadPlan:
+    """``plan_download`` for a link or a drive path; a path may name a file."""
+    request = files.sparkSession.range(1).select(F.lit(source).alias("source"))
+    found = resolve_sources(request, "download", files, drives).first()
+    if found["status"] != "ok":
+        raise ValueError(f"{source!r}: {found['status']}")
+    return plan_download(files, found["id"], out_dir, depth, existing)

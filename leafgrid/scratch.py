@@ -29,6 +29,14 @@ def folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stored, once its results are used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{folder(spark)}/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"

@@ -133,7 +133,7 @@ def shared(spark):
 def test_paths_from_shared_items(spark, allow_files):
     requests = paths(
         spark, "missing", "dup/x", "shared dir", "doc.txt", "doc.txt/sub", "Shared Dir/SUB",
-        "shared dir/sub/x.txt", "shared dir/team",
+        "shared dir/sub/x.txt", "shared dir/team", "/",
     )
     got = outcome(resolve_shared_paths(requests, shared(spark), allow_files))
     file_ok = ("doc", "ok", None, None) if allow_files else (None, "not_a_folder", "doc.txt", "shared item")
@@ -148,6 +148,7 @@ def test_paths_from_shared_items(spark, allow_files):
         "Shared Dir/SUB": ("sub", "ok", None, None),
         "shared dir/sub/x.txt": inner,
         "shared dir/team": (None, "not_found", "team", what),
+        "/": (None, "ambiguous", "", "shared item"),
     }
 
 

@@ -135,3 +135,13 @@ def test_prefix_sums_agree_whether_spread_or_not(spark):
     spread = prefix_sum(df, ["k"], ["o"], F.col("v"), "s", True, rows_per_part=20)
     key = lambda r: (r["k"], r["o"])
     assert sorted(plain.collect(), key=key) == sorted(spread.select(plain.columns).collect(), key=key)
+
+
+def test_a_chain_of_pushed_names_takes_several_rounds(spark):
+    rows = [file("0", "a", "r"), file("1", "a", "r")]
+    rows += [file(str(k), "a" + " (1)" * (k - 1), "r") for k in range(2, 7)]
+    rows += [file("x", "b", "r"), file("y", "b", "r"), file("z", "b (1)", "r")]
+    targets = allocated(spark, rows)
+    got = result(targets)
+    assert got == by_turn(targets.orderBy("sort_key").collect())
+    assert dict(got)["6"] == "a" + " (1)" * 6

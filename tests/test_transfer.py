@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from leafgrid.operators.transfer import classify, export_plan, summarize, transfer_manifest
 from leafgrid.operators.walk import walk_tree
-from leafgrid.plans.download import plan_download
+from leafgrid.plans.download import plan_download, plan_source
+from leafgrid.schemas import DRIVE_CATALOG
 
 
 def test_classes(spark):
@@ -103,3 +104,17 @@ def test_plan_of_one_file(spark):
     taken = spark.createDataFrame([("here", False)], "path string, is_dir boolean")
     blocked = plan_download(sample(spark), "d", "here", existing=taken)
     assert [r["path"] for r in blocked.conflicts.collect()] == ["here"]
+
+
+def test_plan_from_a_link_or_a_path(spark):
+    drives = spark.createDataFrame([("r", "personal", "My Drive", "", 0)], DRIVE_CATALOG)
+
+    def planned(source):
+        plan = plan_source(sample(spark), drives, source, "o")
+        return sorted(r["target"] for r in plan.manifest.collect() if r["target"])
+
+    assert planned("my drive/DOC") == ["o/doc.docx"]
+    assert planned("https://drive.google.com/drive/folders/g") == ["o/in:side"]
+    for source, status in [("My Drive/none", "not_found"), ("https://drive.google.com/x", "no_id_in_url")]:
+        with pytest.raises(ValueError, match=status):
+            planned(source)
