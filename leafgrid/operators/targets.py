@@ -14,6 +14,7 @@ from leafgrid.operators.transfer import entry_path
 from leafgrid.skew import HOT_ROWS, prefix_sum
 
 GROUP = ["dir", "base"]
+FAMILY = ["dir", "family"]
 BEFORE_THE_WALK = "CAST(array() AS ARRAY<STRUCT<is_file: BOOLEAN, lname: STRING, id: STRING>>)"
 
 
@@ -30,46 +31,72 @@ def allocate_targets(
     * a family of one repeated name: n is the file's rank in its directory;
     * any other family is settled in rounds, see ``_settle``.
 
-    The manifest is read several times: pass one that is stored.
+    Most files share their family with nobody. They are set apart by counting
+    64-bit hashes of (directory, family), a small fraction of the paths; only
+    the rest is grouped by name. The manifest is read several times: pass one
+    that is stored.
     """
-    files = manifest.filter(F.col("action").isin("binary", "export")).withColumn(
-        "family", copy_family(F.col("base"))
+    files = _with_family(manifest.filter(F.col("action").isin("binary", "export")))
+    held = _with_family(_held_names(manifest, existing))
+    shared = scratch.store(
+        files.select("spot")
+        .unionAll(held.select("spot"))
+        .groupBy("spot")
+        .agg(F.count(F.lit(1)).alias("names"))
+        .filter(F.col("names") > 1)
+        .select("spot"),
+        "shared-spots",
     )
-    held = _held_names(manifest, existing)
-    contested, seen = scratch.measure(
-        _contested_families(files, held),
-        "contested",
-        biggest=F.max("biggest"),
-        mixed=F.count_if("mixed"),
+    zero = F.lit(0).cast("long")
+    numbers = [files.join(shared, "spot", "left_anti").withColumn("n", zero)]
+    near, seen = scratch.measure(
+        files.join(shared, "spot", "left_semi"), "near", rows=F.count(F.lit(1))
     )
-    place = ["dir", "family"]
-
-    plain = files.join(contested, place, "left_anti").withColumn(
-        "n", F.lit(0).cast("long")
-    )
-    if seen["biggest"]:
-        clashing = scratch.store(files.join(contested, place), "clashing")
-        spread = seen["biggest"] > hot_rows
-        ranked = prefix_sum(
-            clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, hot_rows
-        )
-        settled = ranked.filter(~F.col("mixed"))
-        if seen["mixed"]:
-            mixed = scratch.store(ranked.filter("mixed"), "mixed")
-            held = held.withColumn("family", copy_family(F.col("base"))).join(
-                contested.filter("mixed"), place, "left_semi"
-            )
-            settled = settled.unionByName(_settle(mixed, held, spread, hot_rows))
-        plain = plain.unionByName(settled.select(plain.columns))
+    if seen["rows"]:
+        held = held.join(shared, "spot", "left_semi")
+        numbers += _numbered_near(near, held, hot_rows)
 
+    wanted = [*manifest.columns, "n"]
+    placed = reduce(DataFrame.unionByName, [df.select(wanted) for df in numbers])
     target = entry_path(F.col("dir"), numbered(F.col("base"), F.col("n")))
-    columns = manifest.columns
     rest = manifest.filter(~F.col("action").isin("binary", "export"))
-    return plain.select(*columns, target.alias("target")).unionByName(
+    return placed.withColumn("target", target).drop("n").unionByName(
         rest.withColumn("target", F.lit(None).cast("string"))
     )
 
 
+def _numbered_near(
+    near: DataFrame, held: DataFrame, hot_rows: int
+) -> list[DataFrame]:
+    """Files that share their family with a name, with their numbers ``n``."""
+    contested, seen = scratch.measure(
+        _contested_families(near, held),
+        "contested",
+        biggest=F.max("biggest"),
+        mixed=F.count_if("mixed"),
+    )
+    keep = near.join(contested, FAMILY, "left_anti")
+    numbers = [keep.withColumn("n", F.lit(0).cast("long"))]
+    if not seen["biggest"]:
+        return numbers
+    clashing = scratch.store(near.join(contested, FAMILY), "clashing")
+    spread = seen["biggest"] > hot_rows
+    ranked = prefix_sum(clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, hot_rows)
+    numbers.append(ranked.filter(~F.col("mixed")))
+    if seen["mixed"]:
+        mixed = scratch.store(ranked.filter("mixed"), "mixed")
+        held = held.join(contested.filter("mixed"), FAMILY, "left_semi")
+        numbers.append(_settle(mixed, held, spread, hot_rows))
+    return numbers
+
+
+def _with_family(names: DataFrame) -> DataFrame:
+    family = copy_family(F.col("base"))
+    return names.withColumn("family", family).withColumn(
+        "spot", F.xxhash64("dir", "family")
+    )
+
+
 def _held_names(manifest: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Names that are no file's to take, and from which point of the walk on."""
     held = (
@@ -99,9 +126,7 @@ def _contested_families(files: DataFrame, held: DataFrame) -> DataFrame:
     name or one family with most of the rows shuffles as a handful of counts.
     """
     names = files.groupBy("dir", "base", "family").agg(F.count(F.lit(1)).alias("n"))
-    taken = held.select(
-        "dir", "base", copy_family(F.col("base")).alias("family"), F.lit(0).alias("n")
-    )
+    taken = held.select("dir", "base", "family", F.lit(0).alias("n"))
     return (
         names.unionByName(taken)
         .groupBy("dir", "family")
@@ -137,8 +162,6 @@ def _settle(
     Every step is a join, a count or a prefix sum; no family is held by a task.
     """
 
-    place = ["dir", "family"]
-
     def before(df, order, value, out):
         return prefix_sum(df, GROUP, order, value, out, spread, hot_rows)
 
@@ -221,10 +244,10 @@ def _settle(
         # Families do not touch one another: from the second round on, only
         # those that still change stay in.
         if turn > 1:
-            changed = renumbered.filter(F.col("n") != F.col("last_n")).select(*place)
+            changed = renumbered.filter(F.col("n") != F.col("last_n")).select(*FAMILY)
             flipped = blocks.filter(F.col("stands") != F.col("stood"))
             flipped = flipped.select("dir", copy_family(F.col("base")).alias("family"))
             changed = scratch.store(changed.union(flipped).distinct(), "changed")
-            done.append(files.join(changed, place, "left_anti"))
-            files = scratch.store(files.join(changed, place, "left_semi"), "files")
-            held = held.join(changed, place, "left_semi")
+            done.append(files.join(changed, FAMILY, "left_anti"))
+            files = scratch.store(files.join(changed, FAMILY, "left_semi"), "files")
+            held = held.join(changed, FAMILY, "left_semi")
