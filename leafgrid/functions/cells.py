@@ -124,11 +124,16 @@ def _corner(text: str) -> tuple[int | None, int | None]:
 
 def trim_cells(cells: Column) -> Column:
     """Cells up to the last non-empty one; missing values read as empty."""
-    filled = F.transform(cells, lambda v: F.coalesce(v, F.lit("")))
-    width = F.array_max(
-        F.transform(filled, lambda v, i: F.when(v != "", i + 1).otherwise(0))
-    )
-    return F.slice(filled, 1, F.coalesce(width, F.lit(0)))
+
+    def trimmed(row: Column) -> Column:
+        width = F.array_max(
+            F.transform(row, lambda v, i: F.when(v != "", i + 1).otherwise(0))
+        )
+        return F.slice(row, 1, F.coalesce(width, F.lit(0)))
+
+    # In an array of one, so that the cells are worked out once per row.
+    kept = F.transform(F.array(cells), trimmed)[0]
+    return F.transform(kept, lambda v: F.coalesce(v, F.lit("")))
 
 
 def split_line(line: Column, delimiter: str = ",") -> Column:

@@ -55,6 +55,5 @@ def shared_with_me(files: DataFrame, name: str | None = None) -> DataFrame:
 
 def get_metadata(files: DataFrame, ids: DataFrame) -> DataFrame:
     """Id, name and MIME type of the files whose ``id`` is in ``ids``."""
-    return files.select("id", "name", "mimeType").join(
-        ids.select("id"), "id", "left_semi"
-    )
+    wanted = ids.select("id").distinct()
+    return files.select("id", "name", "mimeType").join(wanted, "id")

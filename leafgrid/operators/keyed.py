@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafgrid import scratch
 from leafgrid.functions.cells import column_letter, letter_of, quote_tab, trim_cells
 from leafgrid.operators.grid import GRID_COLUMNS, first_tab, read_range
+from leafgrid.skew import sized
 
 
 class KeyedUpdate(NamedTuple):
@@ -210,7 +211,13 @@ def set_by_keys(
             "judged",
         )
         results.append(judged.select("seq", "status", "n_rows"))
-        folded = scratch.store(_folded(judged, header, f"set{k}"), "folded")
+        column = f"set{k}"
+        folded, seen = scratch.measure(
+            _folded(judged, header, column),
+            "folded",
+            size=F.sum(F.octet_length(F.to_json(F.struct("key", column))) + 64),
+        )
+        folded = sized(folded, seen["size"])
         keyed = keyed.withColumn("key", row_key).join(folded, "key", "left").drop("key")
 
     sets = [F.col(f"set{k}") for k in range(len(kinds))]

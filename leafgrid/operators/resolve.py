@@ -9,10 +9,7 @@ from leafgrid import scratch
 from leafgrid.functions.catalog import extract_id, is_folder, is_url, owner_email
 from leafgrid.operators.children import child_edges, in_corpora, shared_items
 from leafgrid.operators.lookup import match_drive_prefix, path_parts
-
-# Names wanted by the requests are broadcast to thin out the catalog up to this
-# size; beyond it the whole catalog is indexed.
-NAME_FILTER_BYTES = 64 * 1024 * 1024
+from leafgrid.skew import BROADCAST_BYTES, sized
 
 # Path levels joined in one job before the open paths are written and counted.
 LEVELS_PER_JOB = 4
@@ -24,7 +21,8 @@ def name_index(
     """Live children counted by parent and case-insensitive name.
 
     Counts are combined map-side, so a name repeated millions of times in one
-    folder becomes one row. ``wanted`` (column ``lname``) keeps only those names.
+    folder becomes one row. ``wanted`` (column ``lname``) keeps only those names
+    if they measure small enough to broadcast, else all names are counted.
     """
     edges = child_edges(in_corpora(files, corpora)).select(
         "parent", F.lower("name").alias("lname"), "id", is_folder().alias("folder")
@@ -32,7 +30,7 @@ def name_index(
     if wanted is not None:
         size = F.sum(F.octet_length("lname") + 16)
         wanted, seen = scratch.measure(wanted, "wanted", size=size)
-        if (seen["size"] or 0) <= NAME_FILTER_BYTES:
+        if (seen["size"] or 0) <= BROADCAST_BYTES:
             edges = edges.join(F.broadcast(wanted), "lname", "left_semi")
     return edges.groupBy("parent", "lname").agg(
         F.count_if("folder").alias("folders"),
@@ -191,7 +189,12 @@ def _descend(
     names = state.filter(F.col("status").isNull()).select(
         F.explode(F.transform("rest", lambda s: F.lower(s))).alias("lname")
     )
-    index = scratch.store(name_index(files, corpora, names.distinct()), "names")
+    index, kept = scratch.measure(
+        name_index(files, corpora, names.distinct()),
+        "names",
+        size=F.sum(F.octet_length("parent") + F.octet_length("lname") + 128),
+    )
+    index = sized(index, kept["size"])
     done = 0
     while seen["open"]:
         for position in range(done, done + LEVELS_PER_JOB):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafgrid import scratch
 from leafgrid.functions.names import copy_family, copy_origins, numbered
 from leafgrid.operators.transfer import entry_path
-from leafgrid.skew import HOT_ROWS, prefix_sum
+from leafgrid.skew import HOT_ROWS, prefix_sum, sized
 
 GROUP = ["dir", "base"]
 FAMILY = ["dir", "family"]
@@ -74,7 +74,9 @@ def _numbered_near(
         "contested",
         biggest=F.max("biggest"),
         mixed=F.count_if("mixed"),
+        size=F.sum(F.octet_length("dir") + F.octet_length("family") + 64),
     )
+    contested = sized(contested, seen["size"])
     keep = near.join(contested, FAMILY, "left_anti")
     numbers = [keep.withColumn("n", F.lit(0).cast("long"))]
     if not seen["biggest"]:

@@ -97,7 +97,7 @@ def test_deep_paths_take_several_jobs(spark, monkeypatch):
     rows = [folder(f"f{i}", f"n{i}", f"f{i - 1}" if i else "root") for i in range(11)]
     deep = "My Drive/" + "/".join(f"n{i}" for i in range(11))
     requests = paths(spark, deep, deep + "/more", "My Drive/n0/x" + "/y" * 40)
-    monkeypatch.setattr(resolve, "NAME_FILTER_BYTES", 0)
+    monkeypatch.setattr(resolve, "BROADCAST_BYTES", 0)
     assert outcome(resolve_paths(requests, catalog(spark, rows), drives(spark))) == {
         deep: ("f10", "ok", None, None),
         deep + "/more": (None, "not_found", "more", "folder"),
