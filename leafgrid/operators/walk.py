@@ -69,7 +69,6 @@ def walked_folders(
     a table and measured, so that a small one is broadcast.
     """
     spark = edges.sparkSession
-    path = scratch.new_path(spark, "folders")
     root = spark.range(1).select(
         F.lit(root_id).alias("folder_id"),
         F.expr("CAST(array() AS ARRAY<STRING>)").alias("ancestors"),
@@ -77,6 +76,9 @@ def walked_folders(
             "CAST(array() AS ARRAY<STRUCT<is_file: BOOLEAN, lname: STRING, id: STRING>>)"
         ).alias("sort_key"),
     )
+    if depth is not None and depth <= 1:
+        return root, 0
+
     rows = F.count(F.lit(1))
     size = F.sum(
         F.octet_length(F.array_join("ancestors", ""))
@@ -85,51 +87,47 @@ def walked_folders(
         + F.size("sort_key") * 48
         + 100
     )
-    found, seen = scratch.measure(root, "root", f"{path}/level=0", size=size)
-    total = 0
-
-    if depth is None or depth > 1:
-        folder_edges, edge_count = scratch.measure(
-            edges.filter(is_folder()).select("parent", "id", "name", "mimeType"),
-            "folder-edges",
-            rows=rows,
-        )
-        large = edge_count["rows"] > hot_rows
-        keys = ["parent"]
-        if large:
+    below = edges.filter(is_folder()).select("parent", "id", "name", "mimeType")
+    keys, hot = ["parent"], None
+    if depth != 2:  # more than one level: the edges are used again
+        below, seen = scratch.measure(below, "folder-edges", rows=rows)
+        if seen["rows"] > hot_rows:
             keys = ["parent", "slot"]
-            hot = scratch.store(skew.hot_keys(folder_edges, "parent", hot_rows), "hot")
-            folder_edges = (
-                skew.spread_many(folder_edges, "parent", "id", hot)
+            hot = scratch.store(skew.hot_keys(below, "parent", hot_rows), "hot")
+            below = (
+                skew.spread_many(below, "parent", "id", hot)
                 .repartition(skew.shuffle_partitions(edges), *keys)
                 .persist(StorageLevel.DISK_ONLY)
             )
-        level = 0
-        while depth is None or level + 1 < depth:
-            frontier = found.withColumnRenamed("folder_id", "parent")
-            if large:
-                frontier = skew.spread_one(frontier, "parent", hot)
-            below = (
-                folder_edges.join(skew.sized(frontier, seen["size"]), keys)
-                .filter(_is_new(root_id))
-                .select(
-                    F.col("id").alias("folder_id"),
-                    F.concat("ancestors", F.array("name")).alias("ancestors"),
-                    _extended_key().alias("sort_key"),
-                )
-            )
-            level += 1
-            found, seen = scratch.measure(
-                below, "level", f"{path}/level={level}", rows=rows, size=size
+
+    path = scratch.new_path(spark, "folders")
+    found, seen, total = root, {"size": 0}, 0
+    level = 0
+    while depth is None or level + 1 < depth:
+        level += 1
+        frontier = found.withColumnRenamed("folder_id", "parent")
+        if hot is not None:
+            frontier = skew.spread_one(frontier, "parent", hot)
+        entered = (
+            below.join(skew.sized(frontier, seen["size"]), keys)
+            .filter(_is_new(root_id))
+            .select(
+                F.col("id").alias("folder_id"),
+                F.concat("ancestors", F.array("name")).alias("ancestors"),
+                _extended_key().alias("sort_key"),
             )
-            if not seen["rows"]:
-                break
-            total += seen["size"]
-        if large:
-            folder_edges.unpersist()
-
-    folders = spark.read.schema(FOLDER_COLUMNS).parquet(path)
-    return folders.select("folder_id", "ancestors", "sort_key"), total
+        )
+        found, seen = scratch.measure(
+            entered, "level", f"{path}/level={level}", rows=rows, size=size
+        )
+        if not seen["rows"]:
+            break
+        total += seen["size"]
+    if hot is not None:
+        below.unpersist()
+
+    levels = spark.read.schema(FOLDER_COLUMNS).parquet(path).drop("level")
+    return root.unionByName(levels), total
 
 
 def listing(files: DataFrame, root_id: str, depth: int | None = None) -> DataFrame:
