@@ -62,7 +62,7 @@ def find_rows(
     tab = tab or first_tab(grid)
     header = header_of(grid, tab)
     if header is None:
-        return grid.select("row_num").limit(0)
+        return grid.select("row_num").filter(F.lit(False))
     return _data_rows(grid, tab).filter(_matches(header, match)).select("row_num")
 
 
@@ -174,8 +174,9 @@ def set_by_keys(
     ones write, and the highest ``seq`` wins a cell.
 
     Instructions are grouped by the columns they match on, one join per group.
-    Rows are counted by key first, and instructions of one key are folded to
-    one row, so a row meets at most one partner however often its key repeats.
+    Only rows with a wanted key are counted, and the instructions of one key are
+    folded to one row, so a row meets at most one partner however often its key
+    repeats.
     """
     tab = tab or first_tab(grid)
     header = header_of(grid, tab)
@@ -195,9 +196,18 @@ def set_by_keys(
             row_key = match_key = F.array(F.lit(""))
         mine = valid.filter(F.col("columns") == F.lit(columns).cast("array<string>"))
         mine = mine.withColumn("key", match_key)
-        counts = data.groupBy(row_key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        wanted = mine.select("key").distinct()
-        hits = counts.join(wanted, "key", "left_semi")
+        # Rows that no instruction asks for leave before anything is shuffled.
+        wanted, seen = scratch.measure(
+            mine.select("key").distinct(),
+            "wanted",
+            size=F.sum(F.octet_length(F.array_join("key", "")) + 64),
+        )
+        hits = (
+            data.select(row_key.alias("key"))
+            .join(sized(wanted, seen["size"]), "key", "left_semi")
+            .groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
         n = F.coalesce("n", F.lit(0))
         status = (
             F.when(n == 0, "no_match")

@@ -440,7 +440,8 @@ SELECT *, CASE WHEN id IS NULL THEN 'no id in url'
     "q_plan": f"""WITH RECURSIVE {manifest('out')}, {TARGETS}
 SELECT action, count(*) AS entries, count(target) AS files, count(DISTINCT target) AS paths
 FROM targets GROUP BY action""",
-    "q_tabs": "SELECT 'customers' AS tab, 0 AS tab_ord UNION ALL SELECT 'suppliers', 1",
+    "q_tabs": f"""WITH {GRID}
+SELECT DISTINCT tab, CASE tab WHEN 'customers' THEN 0 ELSE 1 END AS tab_ord FROM sheet""",
     "q_range": f"""WITH {GRID}
 {SHEET_TEXT.format("cells[2:4]", "WHERE tab = 'customers'")}""",
     "q_update_range": f"""WITH {GRID}
