@@ -295,3 +295,11 @@ def test_cells_with_line_breaks(spark, tmp_path):
     with path.open("w", newline="") as out:
         csv.writer(out).writerows(rows)
     assert cells(read_grid_multiline(spark, str(path), 3)) == rows
+
+
+def test_a_null_cell_leaves_the_old_value(spark):
+    g = grid(spark, [["a", "b", "c"]])
+    done = update_range(g, "Sheet1!A1", values(spark, [[None, "x"]]))
+    assert cells(done.grid) == [["a", "x", "c"]]
+    empty = update_range(g, "Sheet1!A1", values(spark, [["q"]]).limit(0))
+    assert (empty.updated_cells, cells(empty.grid)) == (0, [["a", "b", "c"]])
