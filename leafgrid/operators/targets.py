@@ -83,7 +83,9 @@ def _numbered_near(
         return numbers
     clashing = scratch.store(near.join(contested, FAMILY), "clashing")
     spread = seen["biggest"] > hot_rows
-    ranked = prefix_sum(clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, hot_rows)
+    ranked = prefix_sum(
+        clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, seen["rows"], hot_rows
+    )
     numbers.append(ranked.filter(~F.col("mixed")))
     if seen["mixed"]:
         mixed = scratch.store(ranked.filter("mixed"), "mixed")
@@ -165,7 +167,7 @@ def _settle(
     """
 
     def before(df, order, value, out):
-        return prefix_sum(df, GROUP, order, value, out, spread, hot_rows)
+        return prefix_sum(df, GROUP, order, value, out, spread, None, hot_rows)
 
     files = ranked.withColumn("rank", F.col("n"))
     blocks, done = None, []

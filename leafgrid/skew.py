@@ -72,6 +72,7 @@ def prefix_sum(
     value: Column,
     out: str,
     spread: bool,
+    rows: int | None = None,
     rows_per_part: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group.
@@ -81,6 +82,7 @@ def prefix_sum(
     partition adds up its own part of a group, and the sum of the earlier
     partitions is added. A partition can continue at most one group, so there
     are never more carried sums than partitions, and those are broadcast.
+    ``rows``, if known, adds partitions beyond the session's number.
     """
     zero = F.lit(0).cast("long")
     df = df.withColumn(out, value.cast("long"))
@@ -89,7 +91,7 @@ def prefix_sum(
         w = before.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.coalesce(F.sum(out).over(w), zero))
 
-    parts = max(shuffle_partitions(df), -(-df.count() // rows_per_part))
+    parts = max(shuffle_partitions(df), -(-(rows or 0) // rows_per_part))
     ranged = scratch.store(
         df.repartitionByRange(parts, *keys, *order).withColumn(
             "_part", F.spark_partition_id()
