@@ -84,7 +84,7 @@ def _numbered_near(
     clashing = scratch.store(near.join(contested, FAMILY), "clashing")
     spread = seen["biggest"] > hot_rows
     ranked = prefix_sum(
-        clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, seen["rows"], hot_rows
+        clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, seen["biggest"], hot_rows
     )
     numbers.append(ranked.filter(~F.col("mixed")))
     if seen["mixed"]:
