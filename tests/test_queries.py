@@ -5,8 +5,9 @@ from pathlib import PurePosixPath
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from __spark_entry__ import queries
 from leafgrid.plans import queries as registered
+from leafgrid.plans.oracles import ORACLES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders documents pages lineitem".split()
@@ -32,16 +33,16 @@ def _plain(value):
     return round(float(value), 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
-    result = duck.execute(oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     expected = comparable([d[0] for d in result.description], result.fetchall())
     assert comparable(df.columns, [tuple(r) for r in df.collect()]) == expected
 
 
 def test_only_queries_that_need_turns_have_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"q_targets_mixed"}
+    assert set(registered.QUERIES) - set(ORACLES) == {"q_targets_mixed"}
 
 
 def test_mixed_targets_follow_the_walk(spark, monkeypatch):
