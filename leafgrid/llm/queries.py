@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgrid.llm.bpe import decode_ids, encode_texts
+from leafgrid.llm.chat import digest_chats, format_chats
 from leafgrid.llm.common import read_table, sha256_text
+from leafgrid.llm.language import fit_language, identify_language
 from leafgrid.llm.line_dedup import dedup_lines
 from leafgrid.llm.mixing import mix_sources, taken_words
 from leafgrid.llm.near_dedup import near_duplicates
+from leafgrid.llm.quality import fit_quality, fold, score_quality
 from leafgrid.llm.sharding import shard_documents
 
 
@@ -34,6 +38,53 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode and hash: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return decode_ids(encode_texts(docs)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_text(F.array_join(F.col("ids").cast("array<string>"), " ")).alias(
+            "ids_sha256"
+        ),
+        sha256_text(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], convs.schema
+    )
+    return digest_chats(format_chats(convs.union(probe)))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.filter(fold("doc_id", 5) != 0))
+    return score_quality(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_language(docs.filter(fold("doc_id", 3) != 1))
+    return identify_language(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), 16).select(
         "doc_id",
@@ -50,6 +101,10 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_bpe": op4_bpe,
+    "op5_chat_format": op5_chat_format,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_shard_documents": op9_shard_documents,
 }
 
