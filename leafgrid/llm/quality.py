@@ -2,7 +2,7 @@
 
 A document is a bag of passages. Each passage is described by how often pairs of
 byte classes follow one another in it (letters by case, digits, marks, breaks)
-and encoded by one layer. Gated attention weighs the passages, tanh(V h) times
+and by how often its words repeat, and encoded by one layer. Gated attention weighs the passages, tanh(V h) times
 sigmoid(U h), and the weighted sum of their codes gives the document's score.
 Only documents have labels; which passages matter is learned with the rest.
 """
@@ -30,7 +30,8 @@ for _kind, _bytes in enumerate(
     _KINDS[list(_bytes)] = _kind
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-FEATURES = 256 + 4
+FEATURES = 256 + 6
+_BYTES = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64)
 
 
 def passages(text: str | None) -> np.ndarray:
@@ -54,6 +55,21 @@ def passages(text: str | None) -> np.ndarray:
     out[:, 257] = np.minimum(size / np.maximum(words, 1), 40) / 10
     out[:, 258] = np.minimum(breaks / np.maximum(words, 1), 1)
     out[:, 259] = 1
+    begins = np.flatnonzero(starts)
+    if len(begins):
+        letters = np.where(space, np.uint64(0), _BYTES[raw])[begins[0] :]
+        place = np.arange(begins[0], len(raw)) - np.repeat(
+            begins, np.diff(np.append(begins, len(raw)))
+        )
+        word = np.add.reduceat(letters * (2 * place + 1).astype(np.uint64), begins - begins[0])
+        held = number[begins]
+        again = np.zeros(len(word), bool)
+        again[1:] = word[1:] == word[:-1]
+        out[:, 260] = 3 * np.bincount(held, weights=again, minlength=rows) / np.maximum(words, 1)
+        order = np.lexsort((word, held))
+        seen = np.zeros(len(word), bool)
+        seen[1:] = (word[order][1:] == word[order][:-1]) & (held[order][1:] == held[order][:-1])
+        out[:, 261] = 2 * np.bincount(held[order], weights=seen, minlength=rows) / np.maximum(words, 1)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafgrid.llm.bpe import decode_ids, encode_texts
 from leafgrid.llm.chat import digest_chats, format_chats
 from leafgrid.llm.common import read_table, sha256_text
+from leafgrid.llm.embedding_dedup import near_vectors
 from leafgrid.llm.language import fit_language, identify_language
 from leafgrid.llm.line_dedup import dedup_lines
 from leafgrid.llm.mixing import mix_sources, taken_words
@@ -65,6 +66,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(convs.union(probe)))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels")
@@ -103,6 +108,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_bpe": op4_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_shard_documents": op9_shard_documents,
