@@ -14,6 +14,8 @@ and looked up after that. It has no decoder; decoding joins token strings.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 
 PIECE = 16_384
 # Words whose tokens a task remembers, and the longest that it does.
-KNOWN_WORDS, LONGEST_KNOWN = 200_000, 64
+KNOWN_WORDS, LONGEST_KNOWN = 300_000, 64
 # Tokens on which window and side have to agree.
 AGREE = 2
 SPACES = " \n\t\r"
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -50,7 +53,10 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
+        # Tokens of words, in two generations: the older one goes when the newer
+        # is full, and a word that is asked for again moves to the newer.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def spans(self, text: str):
         """Token ids of a text with their starts and ends."""
@@ -58,32 +64,26 @@ class Codec:
         places = np.array(found.offsets, np.int64).reshape(-1, 2)
         return np.array(found.ids, np.int32), places[:, 0], places[:, 1]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [t.encode("utf-8").split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        fresh = dict(
-            zip(
-                new,
-                (
-                    e.ids
-                    for e in self.tokenizer.encode_batch_fast(
-                        [w.decode("utf-8") for w in new], add_special_tokens=False
-                    )
-                ),
-            )
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text: those of its words, one after the other."""
+        words = [_words(t) for t in texts]
+        wanted = set().union(*words)
+        held = {}
+        for w in wanted:
+            ids = self.known.get(w) or self.older.get(w)
+            if ids is not None:
+                held[w] = ids
+        new = list(wanted - held.keys())
+        found = self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8") for w in new], add_special_tokens=False
         )
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                held = known.get(w)
-                ids += fresh[w] if held is None else held
-            out.append(ids)
-        if len(known) + len(fresh) > KNOWN_WORDS:
-            known.clear()
-        known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST_KNOWN)
-        return out
+        for w, e in zip(new, found):
+            held[w] = np.array(e.ids, np.int32).tobytes()
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        self.known.update((w, i) for w, i in held.items() if len(w) <= LONGEST_KNOWN)
+        get = held.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -130,33 +130,58 @@ class Codec:
         return pieces[0][1]
 
 
-def _encode(batches, path, keep):
+def _words(text: str) -> list[bytes]:
+    """Words of a text that can be encoded one by one.
+
+    White space always ends a word, and a stop or comma after a letter or digit
+    a part of one. The vocabulary lowers case; that is done here for A-Z, unless
+    it could make a special token.
+    """
+    raw = text.encode("utf-8")
+    if b"<|" not in raw:
+        raw = raw.lower()
+    return _STOP.sub(rb" \1", raw).split()
+
+
+# Rows that a task handles at a time.
+STEP = 128
+
+
+def _encode(batches, path, keep, decoded=False):
     c = codec(path)
     for batch in batches:
-        ids = []
-        texts = batch.column("text")
-        for start in range(0, len(texts), 256):
-            ids += c.encode([t or "" for t in texts.slice(start, 256).to_pylist()])
-        columns = [batch.column(name) for name in keep]
-        columns.append(pa.array(ids, pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays(columns, [*keep, "ids"])
+        for start in range(0, batch.num_rows, STEP):
+            rows = batch.slice(start, STEP)
+            ids = c.encode([t or "" for t in rows.column("text").to_pylist()])
+            ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+            held = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+            columns = [rows.column(name) for name in keep]
+            columns.append(held)
+            if decoded:
+                texts = c.decode([i.tolist() for i in ids])
+                columns.append(pa.array(texts, pa.string()))
+            names = [*keep, "ids", "decoded"][: len(columns)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _decode(batches, path, keep):
     c = codec(path)
     for batch in batches:
-        texts = []
-        ids = batch.column("ids")
-        for start in range(0, len(ids), 256):
-            texts += c.decode(ids.slice(start, 256).to_pylist())
-        columns = [batch.column(name) for name in keep]
-        columns.append(pa.array(texts, pa.string()))
-        yield pa.RecordBatch.from_arrays(columns, [*keep, "decoded"])
+        for start in range(0, batch.num_rows, STEP):
+            rows = batch.slice(start, STEP)
+            ids = [i.values.to_numpy().tolist() for i in rows.column("ids")]
+            columns = [rows.column(name) for name in keep]
+            columns.append(pa.array(c.decode(ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "decoded"])
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, path: str | None = None, piece: int = PIECE, decoded: bool = False
+) -> DataFrame:
     """Token ids of every whole text of ``docs`` (doc_id, text): doc_id, ids.
 
+    With ``decoded``, the same tasks decode the ids again and add that text.
+
     Null and empty texts have no ids. Null doc_ids and repeated rows are kept,
     one row for each. An empty table gives no rows. Extra columns are not read.
     A text's ids are those of encoding it in one go, however long it is.
@@ -166,8 +191,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, piece: int = PIECE) -
         F.coalesce("text", F.lit("")).alias("text"),
     )
     long = F.length("text") > piece
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
     whole = docs.filter(~long).mapInArrow(
-        lambda it: _encode(it, path, ["doc_id"]), "doc_id long, ids array<int>"
+        lambda it: _encode(it, path, ["doc_id"], decoded), schema
     )
 
     # 2^k pieces of about equal length, none above `piece`.
@@ -199,11 +225,12 @@ def encode_texts(docs: DataFrame, path: str | None = None, piece: int = PIECE) -
         ids = codec(path).tree(list(zip(pieces["text"], pieces["ids"])))
         rows = len(group) // len(pieces)
         doc_id = group["doc_id"].iloc[:1].astype("Int64")
-        return pd.DataFrame({"doc_id": doc_id.repeat(rows), "ids": [ids] * rows})
+        out = pd.DataFrame({"doc_id": doc_id.repeat(rows), "ids": [ids] * rows})
+        if decoded:
+            out["decoded"] = codec(path).decode([ids.tolist()])[0]
+        return out
 
-    joined = encoded.groupBy("doc_id", "k1", "k2").applyInPandas(
-        assemble, "doc_id long, ids array<int>"
-    )
+    joined = encoded.groupBy("doc_id", "k1", "k2").applyInPandas(assemble, schema)
     return whole.unionByName(joined)
 
 

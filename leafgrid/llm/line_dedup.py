@@ -31,11 +31,12 @@ from leafgrid.skew import prefix_sum
 DOC = ["doc_id", "k1", "k2"]
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, carry: tuple = ()) -> DataFrame:
     """Delete later copies of repeated runs of lines from ``docs`` (doc_id, text).
 
     Gives doc_id, text (what is left), n_lines, n_deleted, one row per row of
-    ``docs``. Lines end at a line feed. Lines without a word are no part of a
+    ``docs``, with the columns named in ``carry`` as a struct ``carried``. Lines
+    end at a line feed. Lines without a word are no part of a
     run and stay. A run that overlaps its own copy loses all but its first line.
 
     Null text: stays null, 0 lines. Empty text: one blank line. Null doc_ids
@@ -48,6 +49,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
         "text",
         F.xxhash64("doc_id", "text").alias("k1"),
         F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     copies = _copies(_repeated(keyed), min_words)
     deleted = store(
@@ -74,6 +76,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
             .alias("text"),
             F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
+            *(["carried"] if carry else []),
         )
         .withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
         .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0).cast("long")))

@@ -2,14 +2,16 @@
 
 A document is a bag of passages. Each passage is described by how often pairs of
 byte classes follow one another in it (letters by case, digits, marks, breaks)
-and by how often its words repeat, and encoded by one layer. Gated attention weighs the passages, tanh(V h) times
-sigmoid(U h), and the weighted sum of their codes gives the document's score.
-Only documents have labels; which passages matter is learned with the rest.
+and by how often its words repeat, and encoded by one layer. Gated attention
+weighs the passages, tanh(V h) times sigmoid(U h), and the weighted sum of their
+codes gives the document's score. Only documents have labels; which passages
+matter is learned with the rest.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,25 +196,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, docs_limit: int = FIT_DOCS)
     return model
 
 
+def quality_score(spark, model: AttentionModel):
+    """A function of a text column: the score of the whole text, 0 to 1."""
+    held = spark.sparkContext.broadcast(model.p)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        model = AttentionModel()
+        model.p = held.value
+        one = np.zeros(1, np.int64)
+        return pd.Series([float(model.score(passages(t), one)[0]) for t in texts], dtype=float)
+
+    return score
+
+
 def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text): doc_id, score.
 
     Null and empty texts are one empty passage. Null doc_ids and repeated rows
     are kept. An empty table gives no rows. Extra columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model.p)
-
-    def score(batches):
-        model = AttentionModel()
-        model.p = held.value
-        for batch in batches:
-            scores = []
-            for text in batch.column("text"):
-                scores.append(float(model.score(passages(text.as_py()), np.zeros(1, np.int64))[0]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        score, "doc_id long, score double"
-    )
+    score = quality_score(docs.sparkSession, model)
+    return docs.select("doc_id", score("text").alias("score"))

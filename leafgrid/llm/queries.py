@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrid.llm.bpe import decode_ids, encode_texts
+from leafgrid.llm.bpe import encode_texts
 from leafgrid.llm.chat import digest_chats, format_chats
 from leafgrid.llm.common import read_table, sha256_text
 from leafgrid.llm.embedding_dedup import near_vectors
@@ -13,6 +13,7 @@ from leafgrid.llm.language import fit_language, identify_language
 from leafgrid.llm.line_dedup import dedup_lines
 from leafgrid.llm.mixing import mix_sources, taken_words
 from leafgrid.llm.near_dedup import near_duplicates
+from leafgrid.llm.neighbours import nearest
 from leafgrid.llm.quality import fit_quality, fold, score_quality
 from leafgrid.llm.sharding import shard_documents
 
@@ -41,7 +42,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode and hash: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode_ids(encode_texts(docs)).select(
+    return encode_texts(docs, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256_text(F.array_join(F.col("ids").cast("array<string>"), " ")).alias(
@@ -102,6 +103,10 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -112,6 +117,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_shard_documents": op9_shard_documents,
+    "op10_nearest": op10_nearest,
 }
 
 OP2_SQL = r"""
