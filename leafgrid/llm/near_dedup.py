@@ -11,7 +11,8 @@
    take members outside the bucket's largest component, until each of those has
    led once. Then every pair of a bucket has been compared or is connected, so
    components are the same as if all pairs had been.
-4. A comparison is exact: both full sets are built from the full texts.
+4. A comparison is exact: both full sets are built from the full texts. Pairs
+   that their sizes or signatures rule out by far are not compared.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from leafgrid.scratch import measure, store
 
 BANDS, ROWS = 32, 6
 # Members of one bucket that are compared with all others of it in one round.
-LEADERS = 16
+LEADERS = 1024
+# Bits of the parity sketch.
+PARITY = 512
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -84,19 +87,37 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each place of the signature, 32 places to a number."""
+    bits = np.zeros(-(-len(signature) // 32) * 32, U64)
+    bits[: len(signature)] = signature & U64(3)
+    shifts = 2 * np.arange(32).astype(U64)
+    return np.bitwise_or.reduce(bits.reshape(-1, 32) << shifts, axis=1).view(np.int64)
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """A bit per place: whether an odd number of items hash to it.
+
+    Two sets differ in at least as many items as their bits do.
+    """
+    odd = np.bincount((items >> U64(7)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(batches, words: int, bands: int, rows: int):
     from xxhash import xxh3_128_intdigest
 
     for batch in batches:
-        n, d1, d2, keys = [], [], [], []
+        n, d1, d2, keys, sketches = [], [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py(), words)
             digest = xxh3_128_intdigest(s.tobytes())
             n.append(len(s))
             d1.append((digest >> 64) - (1 << 63))
             d2.append((digest & ((1 << 64) - 1)) - (1 << 63))
-            held = band_keys(superminhash(s, bands * rows), bands) if len(s) else []
-            keys.append(np.asarray(held, np.int64))
+            signature = superminhash(s, bands * rows)
+            keys.append(band_keys(signature, bands) if len(s) else [])
+            sketches.append(np.concatenate([sketch(signature), parity(s)]))
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -104,6 +125,7 @@ def _sign(batches, words: int, bands: int, rows: int):
                 "d1": pa.array(d1, pa.int64()),
                 "d2": pa.array(d2, pa.int64()),
                 "keys": pa.array(keys, pa.list_(pa.int64())),
+                "sketch": pa.array(sketches, pa.list_(pa.int64())),
             }
         )
 
@@ -154,21 +176,20 @@ def near_duplicates(
     signed = store(
         docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             lambda it: _sign(it, words, bands, rows),
-            "doc_id long, n long, d1 long, d2 long, keys array<long>",
+            "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>",
         ),
         "signed",
     )
     real = signed.filter("n > 0 and doc_id is not null")
     classes = store(
         real.groupBy("d1", "d2", "n").agg(
-            F.min("doc_id").alias("first"), F.min_by("keys", "doc_id").alias("keys")
+            F.min("doc_id").alias("first"),
+            F.min_by("keys", "doc_id").alias("keys"),
+            F.min_by("sketch", "doc_id").alias("sketch"),
         ),
         "classes",
     )
-    buckets = classes.select(
-        F.col("first").alias("id"), "n", F.explode("keys").alias("key")
-    )
-    links = _verified(docs, buckets, words, percent)
+    links = _verified(docs, classes, words, percent, bands * rows)
     # One doc_id with several texts joins its classes.
     several = (
         real.groupBy("doc_id")
@@ -178,7 +199,7 @@ def near_duplicates(
     )
     split = (
         real.join(several, "doc_id", "left_semi")
-        .join(classes.drop("keys"), ["d1", "d2", "n"])
+        .join(classes.drop("keys", "sketch"), ["d1", "d2", "n"])
         .select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     )
     found = store(components(links.union(split)), "components")
@@ -190,7 +211,7 @@ def near_duplicates(
         "named",
     )
     component = F.coalesce("found", "doc_id")
-    return signed.drop("keys").join(named, ["d1", "d2", "n"], "left").select(
+    return signed.drop("keys", "sketch").join(named, ["d1", "d2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
@@ -198,8 +219,9 @@ def near_duplicates(
     )
 
 
-def _verified(docs: DataFrame, buckets: DataFrame, words: int, percent: int):
+def _verified(docs: DataFrame, classes: DataFrame, words: int, percent: int, size: int):
     """Links (a, b) that connect all linked classes, confirmed on full texts."""
+    buckets = classes.select(F.col("first").alias("id"), F.explode("keys").alias("key"))
     groups = buckets.groupBy("key").agg(
         F.min("id").alias("leader"), F.max("id").alias("last")
     )
@@ -214,74 +236,114 @@ def _verified(docs: DataFrame, buckets: DataFrame, words: int, percent: int):
         ).dropDuplicates(["id", "text"]),
         "texts",
     )
-    sizes = members.groupBy("id").agg(F.min("n").alias("n"))
-    pairs = members.filter("id <> leader").select(
-        F.col("leader").alias("a"), F.col("id").alias("b")
+    sketches = classes.select(F.col("first").alias("id"), "n", "sketch")
+    pairs = (
+        members.filter("id <> leader")
+        .select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        .distinct()
+        .join(sketches.select(F.col("id").alias("a"), *_side("a")), "a")
+        .join(sketches.select(F.col("id").alias("b"), *_side("b")), "b")
+        .filter(_near(size, percent))
     )
-    links = _confirmed(pairs, sizes, texts, words, percent)
+    links, _ = _confirmed(pairs, texts, words, percent)
     members = members.drop("leader")
+    placed = None
     while True:
-        found = components(links).withColumnRenamed("node", "id")
-        placed = members.join(store(found, "found"), "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
-        )
-        placed = store(placed, "placed")
-        # Buckets that hold several components, and the largest of those.
-        by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-        main = by_part.groupBy("key").agg(
-            F.max_by("component", F.struct("rows", "component")).alias("main"),
-            F.count(F.lit(1)).alias("parts"),
-        )
-        main = store(main.filter("parts > 1").drop("parts"), "open")
-        members = placed.join(main, "key")
-        ahead = members.filter("not led and component <> main")
+        if placed is None:
+            found = components(links).withColumnRenamed("node", "id")
+            placed = members.join(store(found, "found"), "id", "left").withColumn(
+                "component", F.coalesce("component", "id")
+            )
+            placed = store(placed, "placed")
+            # Buckets that hold several components, and the largest of those.
+            by_part = placed.groupBy("key", "component").agg(
+                F.count(F.lit(1)).alias("rows")
+            )
+            main = by_part.groupBy("key").agg(
+                F.max_by("component", F.struct("rows", "component")).alias("main"),
+                F.count(F.lit(1)).alias("parts"),
+            )
+            main = store(main.filter("parts > 1").drop("parts"), "open")
+            members = store(
+                placed.join(main, "key").join(sketches, "id"), "members"
+            )
         salt = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
         leaders, seen = measure(
-            ahead.groupBy("key", salt.alias("salt")).agg(
-                F.min_by(F.struct("id", "component"), "id").alias("lead")
-            ).select("key", "lead.id", "lead.component"),
+            members.filter("not led and component <> main")
+            .groupBy("key", salt.alias("salt"))
+            .agg(F.min_by(F.struct("id", "component", "n", "sketch"), "id").alias("lead"))
+            .select("key", "lead.*"),
             "leaders",
             rows=F.count(F.lit(1)),
         )
         if not seen["rows"]:
             return links
-        other = leaders.select(
-            "key", F.col("id").alias("a"), F.col("component").alias("part")
-        )
-        pairs = (
-            members.join(other, "key")
-            .filter("component <> part")
-            .select("a", F.col("id").alias("b"))
+        ahead = leaders.select(
+            "key", F.col("id").alias("a"), F.col("component").alias("part"), *_side("a")
         )
-        more = _confirmed(pairs, sizes, texts, words, percent)
-        links = links.union(more)
+        others = members.select("key", F.col("id").alias("b"), "component", *_side("b"))
+        apart = F.col("component") != F.col("part")
+        on = (others["key"] == ahead["key"]) & apart & _near(size, percent)
+        more, linked = _confirmed(ahead.join(others, on), texts, words, percent)
         led = leaders.select("key", "id", F.lit(True).alias("now"))
         members = store(
-            members.drop("component", "main")
-            .join(led, ["key", "id"], "left")
+            members.join(led, ["key", "id"], "left")
             .withColumn("led", F.col("led") | F.coalesce("now", F.lit(False)))
             .drop("now"),
             "members",
         )
+        if linked:
+            links = links.union(more)
+            members, placed = members.drop("component", "main", "n", "sketch"), None
+
+
+def _side(name: str):
+    return [F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}")]
 
 
-def _confirmed(pairs, sizes, texts, words: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs whose full sets are similar enough."""
-    ordered = pairs.filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+def _near(size: int, percent: int):
+    """Whether the sets of a pair can be similar enough, by size and signature.
+
+    The smaller set is at least the intersection and the larger at most the
+    union, and the parity sketch bounds the difference of the sets from below;
+    these two lose no link. Two bits of each signature place are equal with 1/4 + 3/4 of the
+    similarity; the estimate may lie six standard deviations below the limit.
+    """
+    wanted = percent / 100
+    equal = 0.25 + 0.75 * wanted
+    slack = 6 * (equal * (1 - equal) / size) ** 0.5
+    most = int(size * (1 - equal + slack)) + 1
+    least, largest = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    differ = F.lit(0)
+    for k in range(-(-size // 32)):
+        x = F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])
+        low = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        differ = differ + F.bit_count(low)
+    apart = F.lit(0)
+    for k in range(-(-size // 32), -(-size // 32) + PARITY // 64):
+        x = F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])
+        apart = apart + F.bit_count(x)
+    total = F.col("n_a") + F.col("n_b")
+    return (
+        (least * 100 >= largest * percent)
+        & (differ <= most)
+        & (apart * (100 + percent) <= total * (100 - percent))
     )
-    # The smaller set is at most the intersection, the larger at least the union.
-    near = (
-        ordered.distinct()
-        .join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int):
+    """Those of the candidate pairs whose full sets are similar, and if any are."""
+    near = store(
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .filter("a <> b")
+        .distinct(),
+        "near",
     )
-    near = store(near, "near")
     with_a = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return store(
+    links, seen = measure(
         both.mapInArrow(lambda it: _compare(it, words, percent), "a long, b long"),
         "links",
+        rows=F.count(F.lit(1)),
     )
+    return links, seen["rows"]
