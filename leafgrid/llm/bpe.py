@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 PIECE = 16_384
 # Words whose tokens a task remembers, and the longest that it does.
-KNOWN_WORDS, LONGEST_KNOWN = 300_000, 64
+KNOWN_WORDS, LONGEST_KNOWN = 600_000, 64
 # Tokens on which window and side have to agree.
 AGREE = 2
 SPACES = " \n\t\r"
