@@ -21,19 +21,22 @@ def column_letter(index: int) -> str:
 def letter_of(position: Column) -> Column:
     """Letters of a 0-based position column.
 
-    One, two and three letter names start at 0, 26 and 702; a grid is at most
-    18,278 columns wide.
+    Names of one, two, three letters start at 0, 26, 702, and so on; seven
+    letters hold every integer position.
     """
-
-    def digit(block: int, offset: int) -> Column:
-        place = F.floor((position - offset) / block) % 26
-        return F.chr((place + 65).cast("int"))
-
-    return (
-        F.when(position < 26, digit(1, 0))
-        .when(position < 702, F.concat(digit(26, 26), digit(1, 26)))
-        .otherwise(F.concat(digit(676, 702), digit(26, 702), digit(1, 702)))
-    )
+    names, start = F.lit(None), [0]
+    for width in range(1, 7):
+        start.append(start[-1] + 26**width)
+    for width in range(7, 0, -1):
+        rest = position.cast("long") - start[width - 1]
+        letters = [
+            F.chr((F.floor(rest / 26**place) % 26 + 65).cast("int"))
+            for place in range(width - 1, -1, -1)
+        ]
+        names = F.when(rest >= 0, F.concat(*letters)) if width == 7 else F.when(
+            position < start[width], F.concat(*letters)
+        ).otherwise(names)
+    return names
 
 
 def quote_tab(tab: str) -> str:

@@ -23,6 +23,11 @@ def stem(name: Column) -> Column:
     return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(name)))
 
 
+def clean_path(path: str) -> Column:
+    """A path without a leading ``./`` and without slashes at its end."""
+    return F.regexp_replace(path, r"^\./|(?<=.)/+\z", "")
+
+
 def safe_filename(name: Column) -> Column:
     """A single path component: no separators, NUL, outer blanks or dot names."""
     blank = r"[\s\x1c-\x1f]"

@@ -193,6 +193,8 @@ def parse_edits(writes: DataFrame) -> DataFrame:
 def apply_edits(grid: DataFrame, edits: DataFrame) -> tuple[DataFrame, int]:
     """Write scattered cells in one pass; the last ``seq`` wins a cell.
 
+    A row that the grid leaves out, before its last one or after, is added.
+
     ``edits`` has ``tab``, ``row_num``, ``col_idx``, ``value`` and ``seq``. Also
     gives the number of cells written.
     """
@@ -234,9 +236,16 @@ def apply_edits(grid: DataFrame, edits: DataFrame) -> tuple[DataFrame, int]:
         ),
     )
     edited = edited.withColumn("edit", F.col("edit").cast("map<int,string>"))
-    changed = grid.join(edited, ["tab", "row_num"], "left").withColumn(
-        "cells",
-        F.when(F.col("edit").isNull(), F.col("cells")).otherwise(trim_cells(cells)),
+    order = F.lit(None).cast(grid.schema["tab_ord"].dataType)
+    for r in extents:
+        order = F.when(F.col("tab") == r["tab"], r["tab_ord"]).otherwise(order)
+    changed = grid.join(edited, ["tab", "row_num"], "full").withColumns(
+        {
+            "tab_ord": F.coalesce("tab_ord", order),
+            "cells": F.when(F.col("edit").isNull(), F.col("cells")).otherwise(
+                trim_cells(cells)
+            ),
+        }
     )
     return changed.select(*GRID_COLUMNS), sum(r["cells"] for r in extents)
 

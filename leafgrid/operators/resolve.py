@@ -93,6 +93,7 @@ def resolve_shared_paths(
     parts = path_parts()
     paths = requests.select("path").distinct().withColumn("parts", parts)
     first = F.lower(F.get("parts", F.lit(0)))
+    shared = scratch.store(shared, "shared")  # the join can split a hot first name
     seeded = paths.join(shared, first == F.col("shared_key"), "left")
     only_one = F.size("parts") == 1
     usable = F.col("folder") | (only_one & F.lit(allow_files))
@@ -132,6 +133,8 @@ def ambiguous_names(files: DataFrame, corpora: str = "allDrives") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("matches"))
         .filter(F.col("matches") > 1)
     )
+    # Stored, so that the join can split a name with very many copies.
+    clashes = scratch.store(clashes, "clashes")
     return edges.join(clashes, ["location", "lname"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid import scratch
-from leafgrid.functions.names import copy_family, copy_origins, numbered
+from leafgrid.functions.names import clean_path, copy_family, copy_origins, numbered
 from leafgrid.operators.transfer import entry_path
 from leafgrid.skew import HOT_ROWS, prefix_sum, sized
 
@@ -109,7 +109,7 @@ def _held_names(manifest: DataFrame, existing: DataFrame | None) -> DataFrame:
         .agg(F.min("sort_key").alias("key"))
     )
     if existing is not None:
-        path = F.regexp_replace("path", r"^\./|(?<=.)/+\z", "")
+        path = clean_path("path")
         above = F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
         present = existing.select(
             F.when(~F.contains(path, F.lit("/")), F.lit("."))

@@ -14,7 +14,7 @@ from leafgrid.functions.catalog import (
     lookup,
     size_in_bytes,
 )
-from leafgrid.functions.names import safe_filename, suffix
+from leafgrid.functions.names import clean_path, safe_filename, suffix
 
 
 def export_extension() -> Column:
@@ -127,7 +127,7 @@ def path_conflicts(targets: DataFrame, existing: DataFrame | None = None) -> Dat
     if existing is not None:
         top = targets.filter(F.col("depth") == 0).select(F.col("dir").alias("path"))
         parents = top.distinct().union(made.select("path"))
-        files = existing.filter(~F.col("is_dir")).select("path")
+        files = existing.filter(~F.col("is_dir")).select(clean_path("path").alias("path"))
         earlier = earlier.union(parents.join(files, "path", "left_semi"))
     reason = F.lit("a file with that name exists")
     return earlier.distinct().withColumn("error", reason)

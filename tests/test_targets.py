@@ -91,6 +91,10 @@ def test_a_folder_that_finds_a_file_in_its_place_is_a_conflict(spark):
     )
     got = {r["path"] for r in path_conflicts(targets, present).collect()}
     assert got == {"same", "same/x"}
+    for spelled in ("./same", "same/", "./same//"):
+        present = spark.createDataFrame([(spelled, False)], "path string, is_dir boolean")
+        got = {r["path"] for r in path_conflicts(targets, present).collect()}
+        assert got == {"same", "same/x"}
 
 
 NAMES = [
