@@ -76,13 +76,21 @@ def file_type(mime: Column | str = "mimeType", name: Column | str = "name") -> C
 
 
 def modified_date(ts: Column | str = "modifiedTime") -> Column:
-    """Calendar date in the timestamp's own offset: the text before the ``T``."""
-    return F.coalesce(F.substring(_col(ts), 1, 10), F.lit(""))
+    """Calendar date in the timestamp's own offset: the text before the ``T``.
+
+    Empty where that is no date, see ``is_malformed_time``.
+    """
+    return F.coalesce(_date_of(ts).cast("string"), F.lit(""))
 
 
 def is_malformed_time(ts: Column | str = "modifiedTime") -> Column:
     filled = F.length(_col(ts)) > 0
-    return F.coalesce(filled & ~_col(ts).rlike(r"^\d{4}-\d\d-\d\d"), F.lit(False))
+    return F.coalesce(filled & _date_of(ts).isNull(), F.lit(False))
+
+
+def _date_of(ts: Column | str) -> Column:
+    dated = _col(ts).rlike(r"^\d{4}-\d\d-\d\d")
+    return F.when(dated, F.substring(_col(ts), 1, 10).try_cast("date"))
 
 
 def owner_email() -> Column:

@@ -41,17 +41,30 @@ def header_of(grid: DataFrame, tab: str) -> list[str] | None:
 
 
 def to_table(grid: DataFrame, tab: str | None = None) -> DataFrame:
-    """``row_num`` and one text column per header; a repeated name gets ``__2``."""
+    """``row_num`` and one text column per header.
+
+    Column names differ without regard to case: a name that ``row_num`` or a
+    header to its left has gets ``__2``, or the next number that no header has.
+    """
     tab = tab or first_tab(grid)
-    seen: dict[str, int] = {}
-    columns = []
-    for position, name in enumerate(header_of(grid, tab) or []):
-        seen[name] = seen.get(name, 0) + 1
-        unique = name if seen[name] == 1 else f"{name}__{seen[name]}"
-        columns.append(_cell(position).alias(unique))
+    header = header_of(grid, tab) or []
+    columns = [_cell(i).alias(n) for i, n in enumerate(_unique_names(header))]
     return _data_rows(grid, tab).select("row_num", *columns)
 
 
+def _unique_names(header: list[str]) -> list[str]:
+    given = {name.lower() for name in header}
+    used, names = {"row_num"}, []
+    for name in header:
+        unique, number = name, 1
+        while unique.lower() in used or (number > 1 and unique.lower() in given):
+            number += 1
+            unique = f"{name}__{number}"
+        used.add(unique.lower())
+        names.append(unique)
+    return names
+
+
 def find_rows(
     grid: DataFrame, match: dict[str, str], tab: str | None = None
 ) -> DataFrame:

@@ -274,10 +274,10 @@ ORACLES: dict[str, str] = {
 SELECT 'O' || o_orderkey AS id, o_orderpriority AS name,
   CASE WHEN o_orderkey % 2 = 0 THEN 'text/plain' END AS "mimeType",
   coalesce(nullif({SUFFIX.format("o_orderpriority")}, ''), 'unknown') AS file_type,
-  strftime(o_orderdate, '%Y-%m-%d') AS modified, false AS malformed,
+  CASE WHEN odd THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS modified, odd AS malformed,
   o_orderstatus || '@example.com' AS owner, '' AS shared_by,
   o_orderkey % 11 = 0 AS trashed
-FROM orders WHERE (o_orderkey // 100) % 10 <> 9""",
+FROM (SELECT *, o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 AS odd FROM orders)""",
     "q_drives": f"WITH {DRIVES} SELECT id, type, name, url, ord FROM drives",
     "q_grid_read": """
 SELECT 'Sheet1' AS tab, p_partkey + 1 AS row_num,

@@ -51,20 +51,24 @@ def q_file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("O"), "o_orderkey").alias("id"),
         F.col("o_orderpriority").alias("name"),
         F.when(F.col("o_orderkey") % 2 == 0, F.lit("text/plain")).alias("mimeType"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("modifiedTime"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(F.col("o_orderkey") % 17 == 0, F.date_format("o_orderdate", "yyyy-99-dd'T'HH"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+        .alias("modifiedTime"),
         F.array(
             F.struct(F.concat("o_orderstatus", F.lit("@example.com")).alias("emailAddress"))
         ).alias("owners"),
         (F.col("o_orderkey") % 11 == 0).alias("trashed"),
     )
-    # A page holds a hundred records; every tenth page has none.
+    # A page holds a hundred records; a page without any follows every tenth.
     page = orders.groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(
         F.collect_list(record).alias("files")
     )
+    filled, empty = F.to_json(F.struct("files")), F.lit('{"nextPageToken": "t"}')
     text = page.select(
-        F.when(F.col("page") % 10 == 9, F.lit('{"nextPageToken": "t"}'))
-        .otherwise(F.to_json(F.struct("files")))
-        .alias("json")
+        F.explode(
+            F.when(F.col("page") % 10 == 9, F.array(filled, empty)).otherwise(F.array(filled))
+        ).alias("json")
     )
     return pages.parse_pages(text, "json").select(
         "id",

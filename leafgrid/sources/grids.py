@@ -85,12 +85,22 @@ def parse_lines(
 
 
 def write_grid(
-    grid: DataFrame, path: str, delimiter: str = ",", line_sep: str = "\r\n"
+    grid: DataFrame,
+    path: str,
+    delimiter: str = ",",
+    line_sep: str = "\r\n",
+    tab: str | None = None,
 ) -> None:
-    """Write the rows in order as delimited text; read the parts by name."""
-    rendered_lines(grid, delimiter).select("line").write.mode("overwrite").text(
-        path, lineSep=line_sep
-    )
+    """Write the rows of one tab in order as delimited text, the first tab unless
+    one is named; read the parts by name."""
+    if tab is None:
+        wanted = grid.agg(F.min_by("tab", "tab_ord")).scalar()
+    elif grid.filter(F.col("tab") == tab).isEmpty():
+        raise ValueError(f"no tab named {tab!r}")
+    else:
+        wanted = F.lit(tab)
+    rows = rendered_lines(grid.filter(F.col("tab") == wanted), delimiter)
+    rows.select("line").write.mode("overwrite").text(path, lineSep=line_sep)
 
 
 def rendered_lines(grid: DataFrame, delimiter: str = ",") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def listing_csv(listing: DataFrame) -> DataFrame:
-    """The seven CSV columns; a path loses all its trailing slashes."""
+def listing_csv(listing: DataFrame, *keep: str) -> DataFrame:
+    """The seven CSV columns, after ``keep``; a path loses all its trailing slashes."""
     return listing.select(
+        *keep,
         F.regexp_replace("path", r"/+\z", "").alias("path"),
         "name",
         F.col("file_type").alias("type"),
@@ -21,10 +22,23 @@ def listing_csv(listing: DataFrame) -> DataFrame:
 
 
 def write_listing_csv(listing: DataFrame, path: str) -> None:
-    """Write the CSV columns in walk order, a header in every part."""
-    listing_csv(_in_order(listing)).write.mode("overwrite").csv(
+    """Write a header and the CSV columns in walk order.
+
+    The header is a row of the first part only, so that the parts joined by name
+    are one CSV file.
+    """
+    body = listing_csv(listing)
+    names = body.columns
+    title = listing.sparkSession.createDataFrame([tuple(names)], body.schema)
+    if "sort_key" in listing.columns:
+        # A null key is first in ascending order.
+        keyed = listing_csv(listing, "sort_key")
+        title = title.withColumn("sort_key", F.lit(None).cast(keyed.schema["sort_key"].dataType))
+        body = title.unionByName(keyed).orderBy("sort_key").select(*names)
+    else:
+        body = title.coalesce(1).union(body)
+    body.write.mode("overwrite").csv(
         path,
-        header=True,
         lineSep="\r\n",
         escape='"',
         emptyValue="",

@@ -103,8 +103,9 @@ def test_dates_stay_in_their_offset(spark):
     times = ["2026-03-15T23:30:00-05:00", "2026-03-15T14:30:00.000Z", "", None]
     expected = [datetime.fromisoformat(t).strftime("%Y-%m-%d") if t else "" for t in times]
     assert each(spark, times, catalog.modified_date("v")) == expected
-    odd = ["15/03/2026", "2026-03-15", None, ""]
-    assert each(spark, odd, catalog.is_malformed_time("v")) == [True, False, False, False]
+    odd = ["15/03/2026", "2026-03-15", None, "", "2026-99-15T10"]
+    assert each(spark, odd, catalog.is_malformed_time("v")) == [True, False, False, False, True]
+    assert each(spark, odd, catalog.modified_date("v")) == ["", "2026-03-15", "", "", ""]
 
 
 def test_sizes_as_text(spark):

@@ -159,6 +159,26 @@ def test_find_rows(spark):
     doubled = grid(spark, [["a", "a"], ["1", "2"]])
     assert numbers(find_rows(doubled, {"a": "2"})) == []
     assert to_table(doubled).columns == ["row_num", "a", "a__2"]
+    clashing = grid(spark, [["id", "ID", "row_num", "a", "a", "a__2"], ["1"] * 6])
+    names = ["row_num", "id", "ID__2", "row_num__2", "a", "a__3", "a__2"]
+    assert to_table(clashing).columns == names
+    assert to_table(clashing).count() == 1
+
+
+def test_one_tab_is_written(spark, tmp_path):
+    def lines(**tab):
+        out = tmp_path / f"{len(list(tmp_path.iterdir()))}"
+        write_grid(two, str(out), **tab)
+        return b"".join(p.read_bytes() for p in sorted(out.glob("part-*")))
+
+    two = spark.createDataFrame(
+        [("b", 1, 1, ["b1"]), ("a", 0, 1, ["a1"]), ("b", 1, 2, ["b2"]), ("a", 0, 2, ["a2"])],
+        "tab string, tab_ord int, row_num long, cells array<string>",
+    )
+    assert lines() == b"a1\r\na2\r\n"
+    assert lines(tab="b") == b"b1\r\nb2\r\n"
+    with pytest.raises(ValueError, match="no tab"):
+        lines(tab="c")
 
 
 def test_set_by_match(spark):
