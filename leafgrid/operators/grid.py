@@ -34,7 +34,7 @@ def tabs(grid: DataFrame) -> DataFrame:
 def first_tab(grid: DataFrame) -> str:
     tab = grid.agg(F.min_by("tab", "tab_ord")).first()[0]
     if tab is None:
-        raise ValueError("spreadsheet has no tabs")
+        raise ValueError("an empty grid has no first tab")
     return tab
 
 

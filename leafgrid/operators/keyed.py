@@ -14,6 +14,26 @@ from leafgrid.operators.grid import GRID_COLUMNS, first_tab, read_range
 from leafgrid.skew import sized
 
 
+# Why an update is refused, by status.
+REFUSALS = {
+    "no_updates": "nothing to write, as no columns are given",
+    "empty_tab": "the tab has no filled cell, so there are no column names",
+    "unknown_target": "a column to write has no header",
+    "unknown_match": "a column of the conditions has no header",
+    "no_match": "no data row meets the conditions",
+    "ambiguous": "several data rows meet the conditions; find_rows returns them, "
+    "allow_multiple writes to all",
+}
+
+
+class Refused(ValueError):
+    """An update that writes nothing: its status and the rows that it met."""
+
+    def __init__(self, status: str, rows: int = 0, about: str = ""):
+        super().__init__(f"{status}, {rows} rows: {REFUSALS[status]} {about}".rstrip())
+        self.status, self.rows = status, rows
+
+
 class KeyedUpdate(NamedTuple):
     """The changed grid, the cells written, and the number of rows and cells."""
 
@@ -88,25 +108,21 @@ def set_by_match(
 ) -> KeyedUpdate:
     """Set columns on the one row that meets all conditions.
 
-    Refused, before anything is written, when there is nothing to set, the tab
-    is empty, a column is unknown, no row matches, or several rows match without
-    ``allow_multiple``.
+    ``set_by_keys`` for a single instruction: whatever status other than ``ok``
+    that gives is raised as ``Refused``, before anything is written.
     """
-    if not updates:
-        raise ValueError("no columns to set")
     tab = tab or first_tab(grid)
     header = header_of(grid, tab)
-    if header is None:
-        raise ValueError(f"tab {tab!r} is empty (no header row)")
-    _check_columns("target", header, updates)
+    about = f"(tab {tab!r}, where {match}, set {updates})"
+    names = [F.lit(list(columns)).cast("array<string>") for columns in (match, updates)]
+    one = grid.sparkSession.sql("SELECT 1").select(_status(header, *names)).first()
+    if one[0] is not None:
+        raise Refused(one[0], about=about)
     matched = find_rows(grid, match, tab)
-    rows = matched.count()
-    if rows == 0 or (rows > 1 and not allow_multiple):
-        wanted = ", ".join(f"{column} is {value!r}" for column, value in match.items())
-        raise ValueError(
-            f"the update needs one row where {wanted or 'anything holds'}, but finds"
-            f" {rows}; find_rows lists them, allow_multiple takes them all"
-        )
+    n = F.count(F.lit(1))
+    rows, outcome = matched.agg(n, _outcome(n, allow_multiple)).first()
+    if outcome != "ok":
+        raise Refused(outcome, rows, about)
 
     places = {header.index(column): value for column, value in updates.items()}
     order = {header.index(column): i for i, column in enumerate(updates)}
@@ -221,11 +237,7 @@ def set_by_keys(
         # Stored, so that the join can split a key with very many instructions.
         hits = scratch.store(hits, "hits")
         n = F.coalesce("n", F.lit(0))
-        status = (
-            F.when(n == 0, "no_match")
-            .when((n > 1) & ~F.lit(allow_multiple), "ambiguous")
-            .otherwise("ok")
-        )
+        status = _outcome(n, allow_multiple)
         judged = scratch.store(
             mine.join(hits, "key", "left").select(
                 "seq", "key", "updates", status.alias("status"), n.alias("n_rows")
@@ -304,14 +316,10 @@ def _cell(position: int) -> Column:
     return F.coalesce(F.get("cells", F.lit(position)), F.lit(""))
 
 
-def _check_columns(role: str, header: list[str], names) -> None:
-    unknown = [name for name in names if name not in header]
-    if unknown:
-        raise ValueError(f"{role} column(s) not in header {header}: {unknown}")
-
-
 def _matches(header: list[str], match: dict[str, str]) -> Column:
-    _check_columns("match", header, match)
+    lacking = match.keys() - set(header)
+    if lacking:
+        raise Refused("unknown_match", about=f"({sorted(lacking)})")
     tests = [_cell(header.index(column)) == value for column, value in match.items()]
     return reduce(Column.__and__, tests, F.lit(True))
 
@@ -323,18 +331,32 @@ def _literal_choice(position: Column, values: dict[int, str]) -> Column:
     return chosen
 
 
-def _checked(instructions: DataFrame, header: list[str] | None) -> DataFrame:
+def _status(header: list[str] | None, match: Column, updates: Column) -> Column:
+    """Why an instruction is refused by its column names alone; null if it is not."""
     names = F.lit(header or []).cast("array<string>")
 
-    def unknown(column: str) -> Column:
-        return F.size(F.array_except(F.map_keys(column), names)) > 0
+    def unknown(columns: Column) -> Column:
+        return F.size(F.array_except(columns, names)) > 0
 
-    status = (
-        F.when(F.size("updates") == 0, "no_updates")
+    return (
+        F.when(F.size(updates) == 0, "no_updates")
         .when(F.lit(header is None), "empty_tab")
-        .when(unknown("updates"), "unknown_target")
-        .when(unknown("match"), "unknown_match")
+        .when(unknown(updates), "unknown_target")
+        .when(unknown(match), "unknown_match")
+    )
+
+
+def _outcome(rows: Column, allow_multiple: bool) -> Column:
+    """The status of an instruction that meets so many rows."""
+    return (
+        F.when(rows == 0, "no_match")
+        .when((rows > 1) & ~F.lit(allow_multiple), "ambiguous")
+        .otherwise("ok")
     )
+
+
+def _checked(instructions: DataFrame, header: list[str] | None) -> DataFrame:
+    status = _status(header, F.map_keys("match"), F.map_keys("updates"))
     return instructions.select(
         "seq",
         "match",
