@@ -141,7 +141,7 @@ def manifest(out_dir: str) -> str:
 manifest AS (
   SELECT id, CASE WHEN mime = {FOLDER} THEN 'mkdir'
            WHEN {KIND} = 'skip' THEN 'skip_native' ELSE {KIND} END AS action,
-         {place} AS dir, name || {EXTENSION} AS base
+         {place} AS dir, name || {EXTENSION} AS base, lower(name) AS lname
   FROM walk
 )"""
 
@@ -159,6 +159,47 @@ targets AS (
            action IN ('binary', 'export') ORDER BY id) - 1 AS rn FROM manifest)
 )"""
 
+# Files of one directory and family take turns in walk order; each takes the first
+# of its names that is not among the names taken so far.
+TURNS = r"""
+mixed AS (
+  SELECT id, action, dir, lname, CASE WHEN id LIKE 'P%' AND copy > 0
+    THEN regexp_replace(base, '(\.[A-Z])', ' (' || copy || ')\1', 'g') ELSE base END AS base
+  FROM (SELECT *, TRY_CAST(substr(id, 2, 20) AS BIGINT) % 3 AS copy FROM manifest)
+),
+held AS (
+  SELECT dir, base FROM mixed WHERE action = 'mkdir'
+  UNION SELECT 'My Drive/Parts', p_name || '.' || p_type FROM part
+  UNION SELECT r_name || '/' || n_name, c_name FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE c_custkey % 10 = 0
+),
+named AS (
+  SELECT *, left(base, len(base) - len(ending)) AS stem,
+    row_number() OVER (PARTITION BY dir, family ORDER BY lname, id) AS turn
+  FROM (SELECT *, regexp_replace(base, ' \([0-9]+\)', '', 'g') AS family,
+          regexp_extract(base, '^.+(\.[^.]+)$', 1) AS ending
+        FROM mixed WHERE action IN ('binary', 'export'))
+),
+at_first AS (
+  SELECT dir, family, coalesce(names, []) AS names
+  FROM (SELECT DISTINCT dir, family FROM named) LEFT JOIN
+    (SELECT dir, regexp_replace(base, ' \([0-9]+\)', '', 'g') AS family, list(base) AS names
+     FROM held GROUP BY ALL) USING (dir, family)
+),
+placed AS (
+  SELECT dir, family, 0::BIGINT AS turn, NULL::VARCHAR AS id, NULL::VARCHAR AS name, names
+  FROM at_first
+  UNION ALL
+  SELECT dir, family, turn, id, name, list_append(names, name)
+  FROM (SELECT f.dir, f.family, f.turn, f.id, p.names,
+          list_filter(list_transform(range(0, len(p.names) + 1), lambda n:
+              CASE WHEN n = 0 THEN f.base ELSE f.stem || ' (' || n || ')' || f.ending END),
+            lambda c: NOT list_contains(p.names, c))[1] AS name
+        FROM placed p JOIN named f
+          ON f.dir = p.dir AND f.family = p.family AND f.turn = p.turn + 1)
+)"""
+
 REQUESTS = """
 homes AS (
   SELECT c_custkey, r_name || '/' || n_name || '/' || c_name AS folder
@@ -417,6 +458,10 @@ FROM (SELECT o_orderkey, o_orderkey * CAST(2.0::DOUBLE ** (o_orderkey % 44) AS B
     "q_manifest": f"WITH RECURSIVE {manifest('out')} SELECT id, action, dir, base FROM manifest",
     "q_targets": f"""WITH RECURSIVE {manifest('.')}, {TARGETS}
 SELECT id, action, dir, target FROM targets""",
+    "q_targets_mixed": f"""WITH RECURSIVE {manifest('.')}, {TURNS}
+SELECT id, CASE WHEN dir = '.' THEN '' ELSE dir || '/' END || name AS target
+FROM placed WHERE turn > 0
+UNION ALL SELECT id, NULL FROM mixed WHERE action NOT IN ('binary', 'export')""",
     "q_conflicts": f"""
 SELECT r_name || '/' || n_name || '/' || c_name AS path,
   'a file with that name exists' AS error
