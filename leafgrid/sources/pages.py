@@ -14,12 +14,12 @@ def page_files(pages: DataFrame) -> DataFrame:
 
 
 def read_file_pages(
-    spark: SparkSession, path: str, multi_line: bool = True
+    spark: SparkSession, path: str, multi_line: bool = False
 ) -> DataFrame:
     """All files of all pages under ``path``; absent keys are null.
 
-    ``multi_line`` reads one page per file. Snapshots with one page per line
-    should be read with ``multi_line=False``, which splits large files.
+    A line holds a page, so large files are split. ``multi_line`` reads files
+    that spread one page over several lines, each whole in one task.
     """
     return page_files(spark.read.schema(FILE_PAGE).json(path, multiLine=multi_line))
 

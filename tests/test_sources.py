@@ -29,14 +29,14 @@ def test_pages_become_rows(spark, tmp_path):
         three={"files": []},
         four=page("c"),
     )
-    rows = sorted(read_file_pages(spark, str(tmp_path / "p")).collect(), key=lambda r: r["id"])
+    rows = sorted(read_file_pages(spark, str(tmp_path / "p"), multi_line=True).collect(), key=lambda r: r["id"])
     assert [(r["id"], r["size"], r["trashed"]) for r in rows] == [
         ("a", "5", None), ("b", "5", None), ("c", None, None),
     ]
     assert rows[0]["owners"][0]["emailAddress"] == "x@y"
     lines = tmp_path / "lines.json"
     lines.write_text(json.dumps(page("a")) + "\n" + json.dumps(page("b")) + "\n")
-    assert read_file_pages(spark, str(lines), multi_line=False).count() == 2
+    assert read_file_pages(spark, str(lines)).count() == 2
     texts = spark.createDataFrame([(json.dumps(page("z")),), ("{}",)], "json string")
     assert [r["id"] for r in parse_pages(texts, "json").collect()] == ["z"]
 
