@@ -328,3 +328,24 @@ def test_nearest_reaches_its_recall(spark):
         hits += len({r.vec_id for r in mine} & set(np.argsort(-s)[:10].tolist()))
     assert hits / 200 >= 0.9
     assert neighbours.nearest(frame.filter("false")).count() == 0
+
+
+def exact(x, q, k, ids=None):
+    """The k nearest others of row q by brute force, ties to the smaller id."""
+    ids = np.arange(len(x)) if ids is None else ids
+    s = x @ x[q]
+    order = [i for i in np.lexsort((ids, -s)) if i != q]
+    return ids[order[:k]].tolist()
+
+
+def test_nearest_finds_vectors_of_all_lengths(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 16)) * np.exp(rng.standard_normal((1500, 1)))
+    x[7] *= 100
+    x[9] *= 1e200
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in neighbours.nearest(frame, every=50, k=10, start=32).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = sum(len(found[q] & set(exact(x, q, 10))) for q in range(0, 1500, 50))
+    assert hits / 300 >= 0.9
