@@ -349,3 +349,19 @@ def test_nearest_finds_vectors_of_all_lengths(spark):
         found[r.query_id].add(r.vec_id)
     hits = sum(len(found[q] & set(exact(x, q, 10))) for q in range(0, 1500, 50))
     assert hits / 300 >= 0.9
+
+
+def test_nearest_gives_the_smallest_ids_of_equal_vectors(spark):
+    rng = np.random.default_rng(10)
+    x = rng.integers(-3, 4, (600, 12)).astype(float)
+    x[rng.permutation(600)[:300]] = 5.0
+    x[:2, 0] = 4.0, -4.0
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(int(k), v) for k, v in rows], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(neighbours.nearest(frame, every=20, k=10, start=32).collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append(r.vec_id)
+    copies = [q for q in range(0, 600, 20) if (x[q] == 5).all()]
+    assert copies and all(found[q] == exact(x, q, 10) for q in copies)
+    assert sum(len(set(found[q]) & set(exact(x, q, 10))) for q in range(0, 600, 20)) / 300 >= 0.9
