@@ -17,6 +17,7 @@ from leafgrid.llm.near_dedup import near_duplicates
 from leafgrid.llm.quality import fit_quality, fold, quality_score
 from leafgrid.llm.queries import encoded_digests
 from leafgrid.scratch import store
+from leafgrid.skew import prefix_sum
 
 # A document goes if its quality score is below this.
 LEAST_QUALITY = 0.3
@@ -81,11 +82,14 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source's stream is cut the row has only the words that are taken, joined by
     blanks; all other rows have the text as it was. Null and empty texts have no
     words, so they are in no mix. Rows that agree in doc_id, text and source are
-    taken as one.
+    taken each by itself.
     """
-    held = docs.withColumn("__row", F.xxhash64(F.lit(2), "doc_id", "text", "source"))
-    mixed = mix_sources(held.select(F.col("__row").alias("doc_id"), "text", "source"))
-    pieces = mixed.groupBy("doc_id", "size").agg(F.max("pieces").alias("pieces"))
+    held = docs.withColumn("__hash", F.xxhash64(F.lit(2), "doc_id", "text", "source"))
+    # Equal hashes are numbered, so that every row has a key of its own.
+    held = prefix_sum(held, ["__hash"], ["doc_id"], F.lit(1), "__nth", spread=True)
+    held = held.withColumn("__row", F.concat_ws("-", "__hash", "__nth")).drop("__hash", "__nth")
+    held = store(held, "keyed")
+    pieces = mix_sources(held.select(F.col("__row").alias("doc_id"), "text", "source"))
     # Pieces of one round follow one another: shards cut them.
     rounds = F.transform(
         F.sequence(F.lit(0), F.lit(4)),
@@ -106,7 +110,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ),
         "taken",
     )
-    joined = held.dropDuplicates(["__row"]).join(taken, "__row")
+    joined = held.join(taken, "__row")
     whole = (F.col("__first") == 0) & (F.col("__last") == F.col("__size"))
     some = F.array_join(
         F.slice(

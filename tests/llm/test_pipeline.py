@@ -3,10 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
-from leafgrid.llm.common import read_table
+from leafgrid.llm.common import read_table, word_count
+from leafgrid.llm.mixing import mix_sources, taken_words
 from leafgrid.llm.queries import ORACLES
 from leafgrid.scratch import store
 
@@ -43,3 +45,13 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
                 assert rows.select("doc_id").subtract(docs.union(odd).select("doc_id")).count() == 0
         assert stage(spark, docs.filter("false"), SF_DIR).count() == 0
     assert rows.filter("n_tokens > 0").count() > 0
+
+
+def test_mixing_writes_the_words_of_repeated_rows(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text(1, 40), "en", "a", 1)] * 6 + [(k, text(k, 40), "en", "a", 1) for k in range(2, 5)]
+    rows += [(None, text(9, 30), "en", None, 1)] * 3 + [(k, text(k, 90), "en", "b", 1) for k in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = mix_sources(docs).groupBy("source").agg(F.sum(taken_words()).alias("n")).collect()
+    got = corpus_pipeline.mix_stage(spark, docs, SF_DIR).groupBy("source").agg(F.sum(word_count("text")).alias("n"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
