@@ -71,14 +71,16 @@ class Rectangle(NamedTuple):
         return f"{quote_tab(tab)}!{start}" + ("" if start == end else f":{end}")
 
 
-_CORNER = re.compile(r"([A-Za-z]{0,3})([0-9]*)")
+_CORNER = re.compile(r"([A-Za-z]{0,7})([0-9]*)")
+# Letters of a column in text without a tab, where more make a name like Sheet1.
+_BARE = 3
 
 
 def parse_a1(text: str | None) -> Rectangle:
     """Read ``Tab!A1:C10``, ``A1:C10``, ``A2``, ``A:C``, ``2:5``, ``Tab`` or None.
 
     Text without ``!`` is a range when it has the form of one, else a tab name;
-    a quoted name is always a tab.
+    a quoted name is always a tab. Columns past ZZZ are read after a tab only.
     """
     if text is None or text == "":
         return Rectangle(None, None, None, None, None)
@@ -87,7 +89,7 @@ def parse_a1(text: str | None) -> Rectangle:
         tab, cells = quoted.group(1).replace("''", "'"), quoted.group(2)
     elif "!" in text:
         tab, cells = text.rsplit("!", 1)
-    elif _is_range(text):
+    elif _is_range(text, _BARE):
         tab, cells = None, text
     else:
         tab, cells = text, None
@@ -104,10 +106,12 @@ def parse_a1(text: str | None) -> Rectangle:
     return Rectangle(tab, r1, r2, c1, c2)
 
 
-def _is_range(text: str) -> bool:
+def _is_range(text: str, letters: int = 7) -> bool:
     parts = text.split(":")
     if len(parts) > 2 or not all(p and _CORNER.fullmatch(p) for p in parts):
         return False
+    if any(len(_CORNER.fullmatch(p).group(1)) > letters for p in parts):
+        return False
     if len(parts) == 1:
         col, row = _corner(parts[0])
         return col is not None and row is not None

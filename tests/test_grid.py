@@ -368,3 +368,11 @@ def test_edits_reach_rows_that_the_grid_leaves_out(spark):
     changed, n = apply_edits(g, edits)
     got = {r.row_num: (r.tab_ord, r.cells) for r in changed.collect()}
     assert n == 1 and got == {1: (0, ["a"]), 3: (0, ["", "new"]), 5: (0, ["e"])}
+
+
+def test_addresses_past_three_letters_are_read_back():
+    for place in (701, 18_277, 18_278, 500_000, 2**31 - 1):
+        got = parse_a1(f"Sheet1!{column_letter(place)}4")
+        assert (got.tab, got.first_col, got.first_row) == ("Sheet1", place, 4)
+        assert parse_a1(got.a1("Sheet1")) == got
+    assert parse_a1("Sheet1").tab == "Sheet1"
