@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgrid.llm.alignment import MEASURES, align_tokenizers
 from leafgrid.llm.bpe import encode_texts
 from leafgrid.llm.chat import digest_chats, format_chats
 from leafgrid.llm.common import read_table, sha256_text
@@ -109,6 +112,17 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def sha256_hex(line: bytes) -> str:
+    return hashlib.sha256(line).hexdigest()
+
+
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return align_tokenizers(docs, keep=sha256_hex).select(
+        "doc_id", *MEASURES, F.col("groups").alias("groups_sha256")
+    )
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_passages(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -142,6 +156,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_shard_documents": op9_shard_documents,
     "op10_nearest": op10_nearest,
+    "op11_align_tokenizers": op11_align_tokenizers,
     "op12_decontaminate": op12_decontaminate,
     "op13_filter_audit": op13_filter_audit,
 }
