@@ -216,7 +216,8 @@ class Aligner:
         self.n_digits = np.array([len(d) for d in shown])
         width = len(shown[-1]) + 1
         self.digits = np.array(shown, f"S{width}").view(np.uint8).reshape(-1, width)
-        spans = any(re.search(rb"[^ ] ", t) for t in (*self.a_bytes, *self.b_bytes))
+        tokens = (t.decode("utf-8", "replace") for t in (*self.a_bytes, *self.b_bytes))
+        spans = any(re.search(r"\S ", t) for t in tokens)
         self.cut = (lambda text: [text]) if spans else cut_text
         # Results of units in two generations, see ``learn``.
         self.known: dict[str, tuple] = {}

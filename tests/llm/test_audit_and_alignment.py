@@ -105,6 +105,7 @@ def test_units_are_encoded_as_in_their_text(monkeypatch):
     aligner = alignment.Aligner(
         *(__import__("public_tokenizers").path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     )
+    assert aligner.cut is alignment.cut_text
     monkeypatch.setattr(alignment, "KNOWN_UNITS", 5)  # remembered units are dropped
     for run in (50, 100_000):
         monkeypatch.setattr(alignment, "RUN_CHARS", run)
