@@ -1,4 +1,12 @@
-"""Name paths to ids, for a whole table of paths at once."""
+"""Name paths to ids, for a whole table of paths at once.
+
+Paths share their beginnings, so names are looked up for distinct path prefixes.
+A round takes the next ``LEVELS`` names of every open path. It resolves each
+distinct prefix of them once, level by level: a prefix takes the folder that the
+prefix above it has led to, and is joined to the names of the catalog. At the end
+of a round the paths are joined once to the longest of their prefixes. Paths that
+have failed or ended are in no later round.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +16,13 @@ from pyspark.sql import functions as F
 from leafgrid import scratch
 from leafgrid.functions.catalog import extract_id, is_folder, is_url, owner_email
 from leafgrid.operators.children import child_edges, in_corpora, shared_items
-from leafgrid.operators.lookup import match_drive_prefix, path_parts
-from leafgrid.skew import BROADCAST_BYTES, sized
+from leafgrid.operators.lookup import path_parts, with_drive
+from leafgrid.skew import sized
 
-# Path levels joined in one job before the open paths are written and counted.
-LEVELS_PER_JOB = 4
+# Names of a path that one round looks up.
+LEVELS = 4
+# Stands for the names behind the end of a path; no segment holds a slash.
+ENDED = "/"
 
 
 def name_index(
@@ -21,8 +31,9 @@ def name_index(
     """Live children counted by parent and case-insensitive name.
 
     Counts are combined map-side, so a name repeated millions of times in one
-    folder becomes one row. ``wanted`` (column ``lname``) keeps only those names
-    if they measure small enough to broadcast, else all names are counted.
+    folder becomes one row. ``wanted`` (column ``lname``) keeps only those names:
+    by a broadcast if they measure small enough, else by a sort-merge semi-join,
+    which can split a name of very many files.
     """
     edges = child_edges(in_corpora(files, corpora)).select(
         "parent", F.lower("name").alias("lname"), "id", is_folder().alias("folder")
@@ -30,8 +41,7 @@ def name_index(
     if wanted is not None:
         size = F.sum(F.octet_length("lname") + 16)
         wanted, seen = scratch.measure(wanted, "wanted", size=size)
-        if (seen["size"] or 0) <= BROADCAST_BYTES:
-            edges = edges.join(F.broadcast(wanted), "lname", "left_semi")
+        edges = edges.join(sized(wanted, seen["size"]), "lname", "left_semi")
     return edges.groupBy("parent", "lname").agg(
         F.count_if("folder").alias("folders"),
         F.count(F.lit(1)).alias("items"),
@@ -53,18 +63,18 @@ def resolve_paths(
     ``not_found`` or ``ambiguous``; ``segment``, ``kind`` and ``at_folder`` say
     which name failed, what was looked for and where.
     """
-    starts = match_drive_prefix(requests, drives)
-    state = starts.select(
-        "path",
-        F.col("drive_id").alias("at_folder"),
-        F.coalesce("rest", F.split("path", "/")).alias("rest"),
-        F.when(F.col("drive_id").isNull(), F.lit("no_drive")).alias("status"),
-        F.when(F.col("drive_id").isNull(), path_parts()[0]).alias("segment"),
-        F.when(F.col("drive_id").isNull(), F.lit("drive")).alias("kind"),
-    )
-    return _back_to_requests(
-        requests, _descend(state, files, "allDrives", allow_files)
+    asked = requests.select(F.struct("*").alias("asked"), path_parts().alias("parts"))
+    found = with_drive(asked, drives)
+    none = F.col("drive.id").isNull()
+    state = found.select(
+        "asked",
+        F.col("drive.id").alias("at_folder"),
+        F.coalesce("rest", "parts").alias("rest"),
+        F.when(none, F.lit("no_drive")).alias("status"),
+        F.when(none, F.get("parts", F.lit(0))).alias("segment"),
+        F.when(none, F.lit("drive")).alias("kind"),
     )
+    return _outcomes(_descend(state, files, "allDrives", allow_files))
 
 
 def resolve_shared_paths(
@@ -90,8 +100,7 @@ def resolve_shared_paths(
         .withColumn("shared_key", F.when(F.col("all") == 0, F.col("key")).otherwise(""))
         .drop("key", "all")
     )
-    parts = path_parts()
-    paths = requests.select("path").distinct().withColumn("parts", parts)
+    paths = requests.select(F.struct("*").alias("asked"), path_parts().alias("parts"))
     first = F.lower(F.get("parts", F.lit(0)))
     shared = scratch.store(shared, "shared")  # the join can split a hot first name
     seeded = paths.join(shared, first == F.col("shared_key"), "left")
@@ -104,14 +113,14 @@ def resolve_shared_paths(
     )
     failed = status.isNotNull()
     state = seeded.select(
-        "path",
+        "asked",
         F.when(~failed, F.col("item")).alias("at_folder"),
         F.slice("parts", F.lit(2), F.size("parts")).alias("rest"),
         status.alias("status"),
         F.when(failed, F.col("parts")[0]).alias("segment"),
         F.when(failed, F.lit("shared item")).alias("kind"),
     )
-    return _back_to_requests(requests, _descend(state, files, "user", allow_files))
+    return _outcomes(_descend(state, files, "user", allow_files))
 
 
 def ambiguous_names(files: DataFrame, corpora: str = "allDrives") -> DataFrame:
@@ -179,17 +188,16 @@ def resolve_sources(
 def _descend(
     state: DataFrame, files: DataFrame, corpora: str, allow_files: bool
 ) -> DataFrame:
-    """Follow ``rest`` from ``at_folder``, one equi-join per segment.
+    """Follow ``rest`` from ``at_folder`` until each path has ended or failed.
 
-    A path leaves the descent at its first missing or repeated name. The paths
-    still open are counted every few levels, so the longest path that gets
-    anywhere sets the number of joins, not the longest text.
+    The longest path that gets anywhere sets the number of rounds, not the longest
+    text.
     """
-    def still_open(done: int):
-        return F.count_if(F.col("status").isNull() & (F.size("rest") > done))
-
-    state, seen = scratch.measure(state, "paths", open=still_open(0))
-    names = state.filter(F.col("status").isNull()).select(
+    is_open = F.col("status").isNull() & (F.size("rest") > 0)
+    state, seen = scratch.measure(state, "paths", open=F.count_if(is_open))
+    if not seen["open"]:
+        return state
+    names = state.filter(is_open).select(
         F.explode(F.transform("rest", lambda s: F.lower(s))).alias("lname")
     )
     index, kept = scratch.measure(
@@ -198,65 +206,115 @@ def _descend(
         size=F.sum(F.octet_length("parent") + F.octet_length("lname") + 128),
     )
     index = sized(index, kept["size"])
-    done = 0
     while seen["open"]:
-        for position in range(done, done + LEVELS_PER_JOB):
-            state = _one_segment(state, index, position, allow_files)
-        done += LEVELS_PER_JOB
-        state, seen = scratch.measure(state, "paths", open=still_open(done))
+        heads = scratch.store(path_heads(state.filter(is_open)).distinct(), "heads")
+        moved = _moved(state.filter(is_open), prefix_trie(heads, index), allow_files)
+        state, seen = scratch.measure(
+            state.filter(~is_open).unionByName(moved), "paths", open=F.count_if(is_open)
+        )
     return state
 
 
-def _one_segment(
-    state: DataFrame, index: DataFrame, position: int, allow_files: bool
-) -> DataFrame:
-    is_open = F.col("status").isNull() & (F.size("rest") > position)
-    name = F.get("rest", F.lit(position))
-    # A closed path joins on its own text, so that closed paths do not all hash
-    # to one task; the open flag keeps it from matching anything.
-    keyed = (
-        state.withColumn("is_open", is_open)
-        .withColumn("from_key", F.when(F.col("is_open"), F.col("at_folder")).otherwise(F.col("path")))
-        .withColumn("name_key", F.when(F.col("is_open"), F.lower(name)).otherwise(F.col("path")))
+def _head_names() -> list[str]:
+    return [f"name{k}" for k in range(1, LEVELS + 1)]
+
+
+def path_heads(paths: DataFrame, *keep: str) -> DataFrame:
+    """``start`` and the next names of each path, in lower case, with ``keep``."""
+    names = [
+        F.coalesce(F.lower(F.get("rest", F.lit(k))), F.lit(ENDED)).alias(n)
+        for k, n in enumerate(_head_names())
+    ]
+    return paths.select(*keep, F.col("at_folder").alias("start"), *names)
+
+
+def prefix_trie(heads: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``last``, the last look-up on the way of each distinct head.
+
+    A level has the distinct prefixes of its length. Each gets ``last`` from the
+    prefix above it; if that led to one folder, and the path goes on, the next
+    name is looked up there, else ``last`` stays.
+    """
+    names = _head_names()
+    level = None
+    for k, name in enumerate(names, 1):
+        above = ["start", *names[: k - 1]]
+        prefixes = heads.select(*above, name)
+        if k < LEVELS:
+            prefixes = prefixes.distinct()
+        if level is None:
+            looked = _look_up(prefixes.withColumn("folder", F.col("start")), name, k, index)
+        else:
+            led = F.when(F.col("last.folders") == 1, F.col("last.folder_child"))
+            looked = _look_up(
+                prefixes.join(level, above).withColumn("folder", led), name, k, index
+            )
+        level = looked.select(*above, name, "last")
+    return level
+
+
+def _look_up(prefixes: DataFrame, name: str, depth: int, index: DataFrame) -> DataFrame:
+    """Joins prefixes with a ``folder`` to the names in it; the rest keep ``last``."""
+    goes_on = F.col("folder").isNotNull() & (F.col(name) != ENDED)
+    none = F.lit(0).cast("long")
+    found = F.struct(
+        F.lit(depth).alias("depth"),
+        F.col("folder").alias("at"),
+        F.coalesce("folders", none).alias("folders"),
+        F.coalesce("items", none).alias("items"),
+        F.col("folder_child"),
+        F.col("item_child"),
     )
-    joined = keyed.join(
+    last = F.when(F.col("goes_on"), found)
+    if "last" in prefixes.columns:
+        last = last.otherwise(F.col("last"))
+    # A closed prefix is spread by its own text; no catalog name fits its key.
+    spread = F.concat_ws(ENDED, *[c for c in prefixes.columns if c not in ("last", "folder")])
+    keyed = prefixes.withColumn("goes_on", goes_on).withColumns(
+        {
+            "from_key": F.when(F.col("goes_on"), F.col("folder")).otherwise(spread),
+            "name_key": F.when(F.col("goes_on"), F.col(name)).otherwise(F.lit(ENDED)),
+        }
+    )
+    return keyed.join(
         index,
-        F.col("is_open")
-        & (F.col("from_key") == F.col("parent"))
-        & (F.col("name_key") == F.col("lname")),
+        (F.col("from_key") == F.col("parent")) & (F.col("name_key") == F.col("lname")),
         "left",
+    ).withColumn("last", last)
+
+
+def _moved(paths: DataFrame, trie: DataFrame, allow_files: bool) -> DataFrame:
+    """Open paths behind the last look-up of their head: on, at their end, or failed."""
+    heads = path_heads(paths, "asked", "rest")
+    joined = heads.join(trie, ["start", *_head_names()])
+    depth = F.col("last.depth")
+    takes_file = (F.size("rest") == depth) & F.lit(allow_files)
+    matches = F.when(takes_file, F.col("last.items")).otherwise(F.col("last.folders"))
+    child = F.when(takes_file, F.col("last.item_child")).otherwise(
+        F.col("last.folder_child")
     )
-    takes_file = (F.size("rest") == position + 1) & F.lit(allow_files)
-    matches = F.coalesce(
-        F.when(takes_file, F.col("items")).otherwise(F.col("folders")), F.lit(0)
-    )
-    child = F.when(takes_file, F.col("item_child")).otherwise(F.col("folder_child"))
     wanted = F.when(takes_file, F.lit("file or folder")).otherwise(F.lit("folder"))
-    failure = F.when(
-        F.col("is_open"),
-        F.when(matches == 0, F.lit("not_found")).when(
-            matches > 1, F.lit("ambiguous")
-        ),
+    failure = F.when(matches == 0, F.lit("not_found")).when(
+        matches > 1, F.lit("ambiguous")
     )
-    moves = F.col("is_open") & (matches == 1)
+    failed = matches != 1
     return joined.select(
-        "path",
-        F.when(moves, child).otherwise(F.col("at_folder")).alias("at_folder"),
-        "rest",
-        F.coalesce("status", failure).alias("status"),
-        F.when(failure.isNotNull(), name).otherwise(F.col("segment")).alias("segment"),
-        F.when(failure.isNotNull(), wanted).otherwise(F.col("kind")).alias("kind"),
+        "asked",
+        F.when(failed, F.col("last.at")).otherwise(child).alias("at_folder"),
+        F.slice("rest", depth + 1, F.size("rest")).alias("rest"),
+        failure.alias("status"),
+        F.when(failed, F.get("rest", depth - 1)).alias("segment"),
+        F.when(failed, wanted).alias("kind"),
     )
 
 
-def _back_to_requests(requests: DataFrame, state: DataFrame) -> DataFrame:
+def _outcomes(state: DataFrame) -> DataFrame:
     ok = F.col("status").isNull()
-    results = state.select(
-        "path",
+    return state.select(
+        "asked.*",
         F.when(ok, F.col("at_folder")).alias("id"),
         F.coalesce("status", F.lit("ok")).alias("status"),
         "segment",
         "kind",
         F.when(~ok, F.col("at_folder")).alias("at_folder"),
     )
-    return requests.join(results, "path", "left")
