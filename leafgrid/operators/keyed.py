@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from leafgrid import scratch
 from leafgrid.functions.cells import column_letter, letter_of, quote_tab, trim_cells
-from leafgrid.operators.grid import GRID_COLUMNS, first_tab, read_range
+from leafgrid.operators.grid import GRID_COLUMNS
 from leafgrid.skew import sized
 
 
+# What instructions and rows meet on: the kind of key and the values in its columns.
+KEY = ["kind", "key"]
+
 # Why an update is refused, by status.
 REFUSALS = {
     "no_updates": "nothing to write, as no columns are given",
@@ -51,13 +54,34 @@ class BatchUpdate(NamedTuple):
     results: DataFrame
 
 
-def header_of(grid: DataFrame, tab: str) -> list[str] | None:
-    """Cells of the first row; None for a tab without any filled cell."""
-    rows = read_range(grid, quote_tab(tab))
-    first = rows.filter(F.col("row_num") == 1).select("cells").first()
-    if first is None:
-        return None
-    return list(first["cells"])
+class Facts(NamedTuple):
+    """A tab, the cells of its first row, and its last filled row.
+
+    ``header`` is None without a first row or any filled cell.
+    """
+
+    tab: str
+    header: list[str] | None
+    last_row: int | None
+
+
+def facts_of(grid: DataFrame, tab: str | None = None) -> Facts:
+    """The facts of a tab, the first one unless one is named, in a single job."""
+    rows = grid if tab is None else grid.filter(F.col("tab") == tab)
+    filled = F.when(F.exists("cells", lambda v: v != ""), F.col("row_num"))
+    first = F.when(F.col("row_num") == 1, trim_cells(F.col("cells")))
+    found = (
+        rows.groupBy("tab")
+        .agg(F.min("tab_ord").alias("ord"), F.max(first), F.max(filled))
+        .orderBy("ord")
+        .first()
+    )
+    if found is None:
+        raise ValueError(
+            "an empty grid has no first tab" if tab is None else f"no tab named {tab!r}"
+        )
+    name, _, header, last_row = found
+    return Facts(name, None if last_row is None else header, last_row)
 
 
 def to_table(grid: DataFrame, tab: str | None = None) -> DataFrame:
@@ -66,10 +90,10 @@ def to_table(grid: DataFrame, tab: str | None = None) -> DataFrame:
     Column names differ without regard to case: a name that ``row_num`` or a
     header to its left has gets ``__2``, or the next number that no header has.
     """
-    tab = tab or first_tab(grid)
-    header = header_of(grid, tab) or []
-    columns = [_cell(i).alias(n) for i, n in enumerate(_unique_names(header))]
-    return _data_rows(grid, tab).select("row_num", *columns)
+    facts = facts_of(grid, tab)
+    names = _unique_names(facts.header or [])
+    columns = [_cell(i).alias(n) for i, n in enumerate(names)]
+    return _data_rows(grid, facts).select("row_num", *columns)
 
 
 def _unique_names(header: list[str]) -> list[str]:
@@ -92,11 +116,14 @@ def find_rows(
 
     A missing cell equals the empty string; no conditions match every data row.
     """
-    tab = tab or first_tab(grid)
-    header = header_of(grid, tab)
-    if header is None:
+    return _found_rows(grid, facts_of(grid, tab), match)
+
+
+def _found_rows(grid: DataFrame, facts: Facts, match: dict[str, str]) -> DataFrame:
+    if facts.header is None:
         return grid.select("row_num").filter(F.lit(False))
-    return _data_rows(grid, tab).filter(_matches(header, match)).select("row_num")
+    hit = _matches(facts.header, match)
+    return _data_rows(grid, facts).filter(hit).select("row_num")
 
 
 def set_by_match(
@@ -111,14 +138,15 @@ def set_by_match(
     ``set_by_keys`` for a single instruction: whatever status other than ``ok``
     that gives is raised as ``Refused``, before anything is written.
     """
-    tab = tab or first_tab(grid)
-    header = header_of(grid, tab)
+    facts = facts_of(grid, tab)
+    tab, header, _ = facts
     about = f"(tab {tab!r}, where {match}, set {updates})"
     names = [F.lit(list(columns)).cast("array<string>") for columns in (match, updates)]
-    one = grid.sparkSession.sql("SELECT 1").select(_status(header, *names)).first()
+    # Worked out while the plan is optimised, without a job.
+    one = grid.sparkSession.sql("VALUES (1)").select(_status(header, *names)).first()
     if one[0] is not None:
         raise Refused(one[0], about=about)
-    matched = find_rows(grid, match, tab)
+    matched = _found_rows(grid, facts, match)
     n = F.count(F.lit(1))
     rows, outcome = matched.agg(n, _outcome(n, allow_multiple)).first()
     if outcome != "ok":
@@ -126,8 +154,7 @@ def set_by_match(
 
     places = {header.index(column): value for column, value in updates.items()}
     order = {header.index(column): i for i, column in enumerate(updates)}
-    hit = (F.col("tab") == tab) & (F.col("row_num") > 1) & _matches(header, match)
-    hit = hit & (F.col("row_num") <= _last_row(grid, tab))
+    hit = _is_data(facts) & _matches(header, match)
     widest = max(places) + 1
     cells = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("cells"), F.lit(widest)) - 1),
@@ -199,117 +226,132 @@ def set_by_keys(
     ``unknown_match``, ``no_match``, ``ambiguous``) and its row count; only ``ok``
     ones write, and the highest ``seq`` wins a cell.
 
-    Instructions are grouped by the columns they match on, one join per group.
-    Only rows with a wanted key are counted, and the instructions of one key are
-    folded to one row, so a row meets at most one partner however often its key
-    repeats.
+    A kind of key is a set of columns to match on; its number and the values in
+    those columns are the key. Every grid row has a key of each kind that occurs,
+    so instructions of all kinds meet the rows in the same joins, and the number
+    of jobs does not depend on them. Only keys that are asked for are shuffled and
+    counted, and the instructions of one key are folded to one row, so a row meets
+    at most one partner of each kind. What is written to a row is joined back once.
     """
-    tab = tab or first_tab(grid)
-    header = header_of(grid, tab)
-    checked = scratch.store(_checked(instructions, header), "instructions")
+    facts = facts_of(grid, tab)
+    tab, header, _ = facts
+    # Column names only: as many as there are kinds of keys.
+    checked, seen = scratch.measure(
+        _checked(instructions, header),
+        "instructions",
+        kinds=F.collect_set(F.when(F.col("status").isNull(), F.col("columns"))),
+    )
     refused = checked.filter(F.col("status").isNotNull()).select(
         "seq", "status", F.lit(0).cast("long").alias("n_rows")
     )
-    valid = checked.filter(F.col("status").isNull())
-    # Column names only: as many rows as there are kinds of keys.
-    kinds = [r["columns"] for r in valid.select("columns").distinct().collect()]
-    data = _data_rows(grid, tab)
-    results, keyed = [refused], data
-    for k, columns in enumerate(kinds):
-        row_key = F.array(*[_cell(header.index(c)) for c in columns])
-        match_key = F.array(*[F.col("match")[c] for c in columns])
-        if not columns:
-            row_key = match_key = F.array(F.lit(""))
-        mine = valid.filter(F.col("columns") == F.lit(columns).cast("array<string>"))
-        mine = mine.withColumn("key", match_key)
-        # Rows that no instruction asks for leave before anything is shuffled.
-        wanted, seen = scratch.measure(
-            mine.select("key").distinct(),
-            "wanted",
-            size=F.sum(F.octet_length(F.array_join("key", "")) + 64),
-        )
-        hits = (
-            data.select(row_key.alias("key"))
-            .join(sized(wanted, seen["size"]), "key", "left_semi")
-            .groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        # Stored, so that the join can split a key with very many instructions.
-        hits = scratch.store(hits, "hits")
-        n = F.coalesce("n", F.lit(0))
-        status = _outcome(n, allow_multiple)
-        judged = scratch.store(
-            mine.join(hits, "key", "left").select(
-                "seq", "key", "updates", status.alias("status"), n.alias("n_rows")
-            ),
-            "judged",
-        )
-        results.append(judged.select("seq", "status", "n_rows"))
-        column = f"set{k}"
-        folded, seen = scratch.measure(
-            _folded(judged, header, column),
-            "folded",
-            size=F.sum(F.octet_length(F.to_json(F.struct("key", column))) + 64),
-        )
-        folded = sized(folded, seen["size"])
-        keyed = keyed.withColumn("key", row_key).join(folded, "key", "left").drop("key")
+    kinds = sorted(list(columns) for columns in seen["kinds"] or [])
+    if not kinds:
+        return BatchUpdate(grid, _no_edits(grid), refused)
 
-    sets = [F.col(f"set{k}") for k in range(len(kinds))]
-    found = reduce(DataFrame.unionByName, results)
-    if not sets:
-        return BatchUpdate(grid, _no_edits(grid), found)
-
-    def latest(position: Column) -> Column:
-        choices = [F.try_element_at(s, position) for s in sets]
-        return F.greatest(*choices) if len(choices) > 1 else choices[0]
-
-    touched = F.array_distinct(
-        F.flatten(
-            F.array(*[F.coalesce(F.map_keys(s), F.expr("CAST(array() AS ARRAY<INT>)")) for s in sets])
-        )
+    data = _data_rows(grid, facts)
+    named = F.array(*[F.lit(columns).cast("array<string>") for columns in kinds])
+    valid = checked.filter(F.col("status").isNull()).select(
+        "seq",
+        "updates",
+        (F.array_position(named, F.col("columns")) - 1).cast("int").alias("kind"),
+        F.transform("columns", lambda c: F.element_at("match", c)).alias("key"),
     )
-    written = F.transform(
-        touched,
-        lambda p: F.struct(
-            p.alias("col_idx"),
-            latest(p)["value"].alias("value"),
-            latest(p)["seq"].alias("seq"),
+    # Keys that no instruction asks for leave before anything is shuffled.
+    wanted, seen = scratch.measure(
+        valid.select(*KEY).distinct(),
+        "wanted",
+        size=F.sum(F.octet_length(F.array_join("key", "")) + 64),
+    )
+    keys = F.array(
+        *[
+            F.array(*[_cell(header.index(c)) for c in columns]).cast("array<string>")
+            for columns in kinds
+        ]
+    )
+    hits = scratch.store(
+        data.select("row_num", F.posexplode(keys).alias(*KEY)).join(
+            sized(wanted, seen["size"]), KEY, "left_semi"
+        ),
+        "hits",
+    )
+    # Stored, so that the join can split a key with very many instructions.
+    counts = scratch.store(hits.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "counts")
+    n = F.coalesce("n", F.lit(0))
+    judged = scratch.store(
+        valid.join(counts, KEY, "left").select(
+            "seq",
+            *KEY,
+            "updates",
+            _outcome(n, allow_multiple).alias("status"),
+            n.alias("n_rows"),
         ),
+        "judged",
+    )
+    results = refused.unionByName(judged.select("seq", "status", "n_rows"))
+    folded, seen = scratch.measure(
+        _folded(judged, header),
+        "folded",
+        size=F.sum(F.octet_length(F.to_json(F.struct("key", "cells"))) + 64),
     )
-    changes = keyed.filter(F.size(touched) > 0).select("row_num", written.alias("written"))
-    edits = changes.select("row_num", F.inline("written")).select(
+    written, seen = scratch.measure(
+        _latest(
+            hits.join(sized(folded, seen["size"]), KEY).select("row_num", F.inline("cells")),
+            "row_num",
+        ),
+        "written",
+        size=F.sum(F.octet_length(F.to_json("cells")) + 64),
+    )
+    edits = written.select("row_num", F.inline("cells")).select(
         F.lit(tab).alias("tab"),
         "row_num",
-        "col_idx",
+        F.col("place").alias("col_idx"),
         F.concat(
-            F.lit(quote_tab(tab) + "!"), letter_of(F.col("col_idx")), F.col("row_num")
+            F.lit(quote_tab(tab) + "!"), letter_of(F.col("place")), F.col("row_num")
         ).alias("a1"),
         "value",
         "seq",
     )
+    return BatchUpdate(
+        _with_cells(grid, facts, data, sized(written, seen["size"])), edits, results
+    )
+
+
+def _with_cells(
+    grid: DataFrame, facts: Facts, data: DataFrame, written: DataFrame
+) -> DataFrame:
+    """The grid with the written cells of each row, the other rows as they were."""
+    values = F.map_from_entries(
+        F.transform("written", lambda c: F.struct(c["place"], c["value"]))
+    )
     cells = F.transform(
         F.sequence(
-            F.lit(0), F.greatest(F.size("cells") - 1, F.array_max(touched))
+            F.lit(0),
+            F.greatest(F.size("cells") - 1, F.array_max(F.map_keys("values"))),
         ),
-        lambda i: F.coalesce(latest(i)["value"], F.get("cells", i), F.lit("")),
+        lambda i: F.coalesce(F.element_at("values", i), F.get("cells", i), F.lit("")),
     )
-    changed = keyed.withColumn(
-        "cells", F.when(F.size(touched) > 0, trim_cells(cells)).otherwise(F.col("cells"))
-    ).select(*GRID_COLUMNS)
-    is_data = (F.col("tab") == tab) & (F.col("row_num") > 1)
-    is_data = is_data & (F.col("row_num") <= _last_row(grid, tab))
-    rest = grid.filter(~F.coalesce(is_data, F.lit(False))).select(*GRID_COLUMNS)
-    return BatchUpdate(rest.unionByName(changed), edits, found)
+    changed = (
+        data.join(written.withColumnRenamed("cells", "written"), "row_num", "left")
+        .withColumn("values", values)
+        .withColumn(
+            "cells",
+            F.when(F.col("values").isNotNull(), trim_cells(cells)).otherwise(F.col("cells")),
+        )
+    )
+    rest = grid.filter(~F.coalesce(_is_data(facts), F.lit(False)))
+    return rest.select(*GRID_COLUMNS).unionByName(changed.select(*GRID_COLUMNS))
 
 
-def _data_rows(grid: DataFrame, tab: str) -> DataFrame:
-    return read_range(grid, quote_tab(tab)).filter(F.col("row_num") > 1)
+def _is_data(facts: Facts) -> Column:
+    """Whether a row lies below the header and not below the last filled row."""
+    rows = F.col("row_num").between(2, F.lit(facts.last_row).cast("long"))
+    return (F.col("tab") == facts.tab) & rows
 
 
-def _last_row(grid: DataFrame, tab: str) -> Column:
-    """Last filled row of a tab, as a value found when the query runs."""
-    filled = F.when(F.exists("cells", lambda v: v != ""), F.col("row_num"))
-    return grid.filter(F.col("tab") == tab).agg(F.max(filled)).scalar()
+def _data_rows(grid: DataFrame, facts: Facts) -> DataFrame:
+    return grid.filter(_is_data(facts)).select(
+        "tab", "tab_ord", "row_num", trim_cells(F.col("cells")).alias("cells")
+    )
 
 
 def _cell(position: int) -> Column:
@@ -366,20 +408,23 @@ def _checked(instructions: DataFrame, header: list[str] | None) -> DataFrame:
     )
 
 
-def _folded(judged: DataFrame, header: list[str], out: str) -> DataFrame:
+def _folded(judged: DataFrame, header: list[str]) -> DataFrame:
     """One row per key: the latest value for each column position."""
     positions = F.create_map(
         *[F.lit(x) for name in dict.fromkeys(header) for x in (name, header.index(name))]
     )
     cells = judged.filter(F.col("status") == "ok").select(
-        "key", "seq", F.explode("updates").alias("column", "value")
-    )
-    latest = cells.groupBy("key", F.element_at(positions, F.col("column")).alias("place")).agg(
-        F.max(F.struct("seq", "value")).alias("last")
-    )
-    return latest.groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "last"))).alias(out)
+        *KEY, "seq", F.explode("updates").alias("column", "value")
     )
+    place = F.element_at(positions, F.col("column")).alias("place")
+    return _latest(cells.select(*KEY, place, "seq", "value"), *KEY)
+
+
+def _latest(cells: DataFrame, *by: str) -> DataFrame:
+    """One row of ``cells`` per key, the value of the highest ``seq`` in each place."""
+    last = cells.groupBy(*by, "place").agg(F.max(F.struct("seq", "value")).alias("last"))
+    cell = F.struct("place", F.col("last.seq"), F.col("last.value"))
+    return last.groupBy(*by).agg(F.collect_list(cell).alias("cells"))
 
 
 def _no_edits(grid: DataFrame) -> DataFrame:

@@ -294,3 +294,41 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("acctbal"), F.lit("0")).alias("updates"),
     )
     return o.unionByName(n).unionByName(s)
+
+
+def mixed_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed update per order of a known customer: six kinds of keys, from one
+    column to two, and every reason to refuse one."""
+    o = table(spark, sf_dir, "orders").join(
+        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    k = F.col("o_orderkey")
+    text = {
+        "custkey": F.col("c_custkey").cast("string"),
+        "name": F.col("c_name"),
+        "nation": F.col("c_nationkey").cast("string"),
+        "segment": F.col("c_mktsegment"),
+    }
+
+    def chosen(*maps):
+        turn = F.lit(None).cast("map<string,string>")
+        for n, pairs in enumerate(maps):
+            pairs = F.create_map(*[F.lit(x) if isinstance(x, str) else x for kv in pairs.items() for x in kv])
+            turn = F.when(k % len(maps) == n, pairs.cast("map<string,string>")).otherwise(turn)
+        return turn
+
+    def on(*columns):
+        return {c: text[c] for c in columns}
+
+    seq = k.cast("string")
+    match = chosen(
+        on("custkey"), on("name", "nation"), on("segment", "custkey"),
+        on("nation", "segment"), {"height": "1"}, on("custkey"), on("custkey"),
+        on("name"), {**on("custkey"), "name": "nobody"},
+    )
+    updates = chosen(
+        {"segment": F.col("o_orderpriority")}, {"acctbal": seq}, {"segment": seq},
+        {"acctbal": "0"}, {"segment": "x"}, {"height": "1"}, {},
+        {"acctbal": seq, "nation": "x"}, {"segment": "x"},
+    )
+    return o.select(k.alias("seq"), match.alias("match"), updates.alias("updates"))

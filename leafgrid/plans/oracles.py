@@ -564,6 +564,33 @@ SELECT 'customers', c_custkey + 2, 4, '''customers''!E' || (c_custkey + 2), '0',
   -c_nationkey - 1
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY ALL HAVING count(*) = 1)""",
+    "q_set_kinds": """
+WITH alike AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)
+SELECT o_orderkey AS seq, CASE o_orderkey % 9
+    WHEN 3 THEN CASE WHEN n = 1 THEN 'ok' ELSE 'ambiguous' END
+    WHEN 4 THEN 'unknown_match' WHEN 5 THEN 'unknown_target' WHEN 6 THEN 'no_updates'
+    WHEN 8 THEN 'no_match' ELSE 'ok' END AS status,
+  CASE WHEN o_orderkey % 9 = 3 THEN n WHEN o_orderkey % 9 IN (0, 1, 2, 7) THEN 1 ELSE 0 END AS n_rows
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN alike USING (c_nationkey, c_mktsegment)""",
+    "q_set_kinds_grid": f"""WITH {GRID},
+alike AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
+asked AS (
+  SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, n
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN alike USING (c_nationkey, c_mktsegment)),
+written AS (
+  SELECT c, k, 4 AS col, CASE WHEN k % 9 = 0 THEN p ELSE CAST(k AS VARCHAR) END AS v
+  FROM asked WHERE k % 9 IN (0, 2)
+  UNION ALL SELECT c, k, 5, CAST(k AS VARCHAR) FROM asked WHERE k % 9 IN (1, 7)
+  UNION ALL SELECT c, k, 5, '0' FROM asked WHERE k % 9 = 3 AND n = 1
+  UNION ALL SELECT c, k, 3, 'x' FROM asked WHERE k % 9 = 7),
+latest AS (
+  SELECT c, max_by(v, k) FILTER (col = 3) AS v3, max_by(v, k) FILTER (col = 4) AS v4,
+    max_by(v, k) FILTER (col = 5) AS v5
+  FROM written GROUP BY c)
+SELECT tab, row_num, CASE WHEN tab = 'suppliers' OR row_num = 1 THEN array_to_string(cells, '|')
+  ELSE array_to_string(cells[1:2], '|') || '|' || coalesce(v3, cells[3]) || '|'
+    || coalesce(v4, cells[4]) || '|' || coalesce(v5, cells[5]) END AS cells
+FROM sheet LEFT JOIN latest ON tab = 'customers' AND c + 2 = row_num""",
     "q_pairs": """
 SELECT c_custkey,
   CASE WHEN c_custkey % 10 NOT IN (3, 7) THEN c_name END AS name,

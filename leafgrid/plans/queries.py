@@ -505,6 +505,22 @@ def q_set_batch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _set_batch(spark, sf_dir).edits
 
 
+def _set_kinds(spark: SparkSession, sf_dir: str) -> keyed.BatchUpdate:
+    return keyed.set_by_keys(
+        derived.customer_grid(spark, sf_dir), derived.mixed_instructions(spark, sf_dir)
+    )
+
+
+@query
+def q_set_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_kinds(spark, sf_dir).results
+
+
+@query
+def q_set_kinds_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_text(_set_kinds(spark, sf_dir).grid)
+
+
 @query
 def q_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
