@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leafgrid import scratch
-from leafgrid.functions.names import clean_path, copy_family, copy_origins, numbered
+from leafgrid.functions.names import (
+    clean_path, copy_family, copy_origins, numbered, stem, suffix,
+)
 from leafgrid.operators.transfer import entry_path
 from leafgrid.skew import HOT_ROWS, prefix_sum, sized
 
@@ -29,7 +34,10 @@ def allocate_targets(
 
     * a family of different names, none taken: every file keeps its name;
     * a family of one repeated name: n is the file's rank in its directory;
-    * any other family is settled in rounds, see ``_settle``.
+    * any other family is gone through once, in walk order, see ``_first_free``.
+
+    A family of more than ``hot_rows`` names is held by no task: its ranks are
+    prefix sums, and if it is mixed it is settled in rounds, see ``_settle``.
 
     Most files share their family with nobody. They are set apart by counting
     64-bit hashes of (directory, family), a small fraction of the paths; only
@@ -69,31 +77,90 @@ def _numbered_near(
     near: DataFrame, held: DataFrame, hot_rows: int
 ) -> list[DataFrame]:
     """Files that share their family with a name, with their numbers ``n``."""
+    hot = F.col("biggest") > hot_rows
     contested, seen = scratch.measure(
         _contested_families(near, held),
         "contested",
-        biggest=F.max("biggest"),
-        mixed=F.count_if("mixed"),
+        families=F.count(F.lit(1)),
+        mixed=F.count_if(F.col("mixed") & ~hot),
+        hot=F.max(F.when(hot, F.col("biggest"))),
+        hot_mixed=F.count_if(F.col("mixed") & hot),
         size=F.sum(F.octet_length("dir") + F.octet_length("family") + 64),
     )
     contested = sized(contested, seen["size"])
-    keep = near.join(contested, FAMILY, "left_anti")
-    numbers = [keep.withColumn("n", F.lit(0).cast("long"))]
-    if not seen["biggest"]:
+    zero = F.lit(0).cast("long")
+    numbers = [near.join(contested, FAMILY, "left_anti").withColumn("n", zero)]
+    if not seen["families"]:
         return numbers
     clashing = scratch.store(near.join(contested, FAMILY), "clashing")
-    spread = seen["biggest"] > hot_rows
-    ranked = prefix_sum(
-        clashing, GROUP, ["sort_key"], F.lit(1), "n", spread, seen["biggest"], hot_rows
-    )
-    numbers.append(ranked.filter(~F.col("mixed")))
+    turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy("sort_key")) - 1
+    repeated = clashing.filter(~hot & ~F.col("mixed"))
+    numbers.append(repeated.withColumn("n", turn.cast("long")))
     if seen["mixed"]:
+        which = F.col("mixed") & ~hot
+        taken = held.join(contested.filter(which), FAMILY, "left_semi")
+        numbers.append(_first_free(clashing.filter(which), taken))
+    if seen["hot"]:
+        ranked = prefix_sum(
+            clashing.filter(hot), GROUP, ["sort_key"], F.lit(1), "n", True, seen["hot"], hot_rows
+        )
+        numbers.append(ranked.filter(~F.col("mixed")))
+    if seen["hot_mixed"]:
+        which = F.col("mixed") & hot
+        taken = held.join(contested.filter(which), FAMILY, "left_semi")
         mixed = scratch.store(ranked.filter("mixed"), "mixed")
-        held = held.join(contested.filter("mixed"), FAMILY, "left_semi")
-        numbers.append(_settle(mixed, held, spread, hot_rows))
+        numbers.append(_settle(mixed, taken, True, hot_rows))
     return numbers
 
 
+def _first_free(files: DataFrame, held: DataFrame) -> DataFrame:
+    """Numbers of files in one pass over each family, held names in between.
+
+    The rows of a family come in walk order. A name that is taken stays so, so
+    each base keeps a pointer behind the last number that it found taken, and no
+    number is tried twice for it. Families follow one another in a partition, and
+    only the names of the current one are in memory.
+    """
+    rows = files.withColumns(
+        {
+            "key": F.col("sort_key"),
+            "stem": stem(F.col("base")),
+            "suffix": suffix(F.col("base")),
+            "is_file": F.lit(True),
+        }
+    ).unionByName(
+        held.select(*FAMILY, "base", "key", F.lit(False).alias("is_file")),
+        allowMissingColumns=True,
+    )
+    in_turn = rows.repartition(*FAMILY).sortWithinPartitions(*FAMILY, "key", "is_file")
+    schema = StructType([*in_turn.schema.fields, StructField("n", LongType())])
+    return in_turn.mapInArrow(_number_files, schema).filter("is_file").select(*files.columns, "n")
+
+
+def _number_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``n``, the first free number of each file; null for held names."""
+    family, taken, behind = None, set(), {}
+    for batch in batches:
+        columns = [*FAMILY, "base", "stem", "suffix", "is_file"]
+        numbers = []
+        for place, name, base, start, end, is_file in zip(
+            *(batch.column(c).to_pylist() for c in columns)
+        ):
+            if (place, name) != family:
+                family, taken, behind = (place, name), set(), {}
+            n, wanted = None, base
+            if is_file:
+                n = behind.get(base, 0)
+                wanted = f"{start} ({n}){end}" if n else base
+                while wanted in taken:
+                    n += 1
+                    wanted = f"{start} ({n}){end}"
+                behind[base] = n + 1
+            taken.add(wanted)
+            numbers.append(n)
+        yield batch.append_column("n", pa.array(numbers, pa.int64()))
+
+
 def _with_family(names: DataFrame) -> DataFrame:
     family = copy_family(F.col("base"))
     return names.withColumn("family", family).withColumn(

@@ -141,6 +141,56 @@ def test_prefix_sums_agree_whether_spread_or_not(spark):
     assert sorted(plain.collect(), key=key) == sorted(spread.select(plain.columns).collect(), key=key)
 
 
+def test_jobs_do_not_grow_with_a_chain_of_names(spark):
+    """Each name pushes the next one: rounds would take a turn for each."""
+    counts = []
+    for length in (4, 8, 16):
+        rows = [file("0", "a", "r"), file("1", "a", "r")]
+        rows += [file(f"n{k:02}", "a" + " (1)" * k, "r") for k in range(1, length)]
+        manifest = scratch.store(
+            transfer_manifest(walk_tree(catalog(spark, rows), "r"), "."), "manifest"
+        )
+        group = f"chain of {length}"
+        spark.sparkContext.setJobGroup(group, "")
+        targets = allocate_targets(manifest)
+        got = result(targets)
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        assert got == by_turn(targets.orderBy("sort_key").collect())
+        assert dict(got)[f"n{length - 1:02}"] == "a" + " (1)" * length
+    assert len(set(counts)) == 1
+
+
+def test_hot_and_small_families_side_by_side(spark):
+    """One family goes by rounds, the others by one pass, repeated and mixed alike."""
+    rows = [file(f"h{k:02}", ["hot", "hot (1)", "hot (3)"][k % 3], "r") for k in range(30)]
+    rows += [file(f"s{k}", ["b.txt", "b (1).txt"][k % 2], "r") for k in range(6)]
+    rows += [file(f"r{k}", "same.txt", "r") for k in range(5)]
+    rows += [file(f"q{k:02}", "many.txt", "r") for k in range(20)]
+    rows += [folder("f", "b (2).txt", "r"), file("one", "one", "r")]
+    small = allocated(spark, rows, hot_rows=10)
+    expected = by_turn(small.orderBy("sort_key").collect())
+    assert result(small) == expected == result(allocated(spark, rows))
+
+
+def test_families_that_run_over_batches(spark):
+    """The names of a family are known beyond the Arrow batch they came in."""
+    from leafgrid.operators.targets import _number_files
+    import pyarrow as pa
+
+    names = ["a", "a", "a (1)", "a", "a (1)", "a (2)", "a"]
+    held = [False, True, True, True, True, False, True]
+    table = pa.table(
+        {
+            "dir": ["d"] * 7 + ["e"] * 7, "family": ["a"] * 14, "base": names * 2,
+            "stem": names * 2, "suffix": [""] * 14, "is_file": held * 2,
+        }
+    )
+    for rows in (1, 3, 14):
+        out = [n for b in _number_files(iter(table.to_batches(rows))) for n in b["n"].to_pylist()]
+        assert out == [None, 1, 1, 2, 2, None, 3] * 2
+
+
 def test_a_chain_of_pushed_names_takes_several_rounds(spark):
     rows = [file("0", "a", "r"), file("1", "a", "r")]
     rows += [file(str(k), "a" + " (1)" * (k - 1), "r") for k in range(2, 7)]
