@@ -162,6 +162,17 @@ def split_line(line: Column, delimiter: str = ",") -> Column:
     return F.when(line == "", none).otherwise(cells)
 
 
+def ends_quoted(line: Column, delimiter: str = ",") -> Column:
+    """Whether a line that starts outside quotes ends inside a quoted cell.
+
+    For a line that starts inside one, put a quote before it.
+    """
+    sep = re.escape(delimiter)
+    text = r'"[^"]*+(?:""[^"]*+)*+'
+    closed = rf'(?:{text}"|(?!"))[^{sep}]*+{sep}'
+    return line.rlike(rf"(?s)\A(?:{closed})*+{text}\z")
+
+
 def join_line(cells: Column, delimiter: str = ",") -> Column:
     """One delimited line: only cells that need quotes get them."""
 

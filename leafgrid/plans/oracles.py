@@ -325,6 +325,13 @@ SELECT 'Sheet1' AS tab, p_partkey + 1 AS row_num,
   CASE WHEN p_partkey % 9 = 0 THEN ''
        WHEN p_partkey % 4 = 0 THEN p_brand || '|' || p_name || ', "x"|'
        ELSE p_partkey || '|' || p_type END AS cells
+FROM part""",
+    "q_grid_quoted": """
+SELECT 'Sheet1' AS tab, row_number() OVER (ORDER BY p_partkey) AS row_num,
+  CASE WHEN p_partkey % 9 = 0 THEN ''
+       WHEN p_partkey % 4 = 0 THEN p_partkey || '|' || p_name || chr(10) || chr(10) || '"x", y'
+       WHEN p_partkey % 4 = 1 THEN 'a' || chr(13) || chr(10) || p_brand || '",' || chr(10) || '|b"c|d'
+       ELSE p_partkey || '|' || p_type || '|' END AS cells
 FROM part""",
     "q_grid_write": """
 SELECT p_partkey + 1 AS row_num,

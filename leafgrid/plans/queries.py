@@ -102,6 +102,25 @@ def q_grid_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_text(grids.parse_lines(lines, "line", "row_num"))
 
 
+@query
+def q_grid_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a delimited file with line breaks and quotes inside cells and with
+    blank lines, written and read back in splits."""
+    k = F.col("p_partkey")
+    lines = derived.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(k % 9 == 0, F.lit(""))
+        .when(k % 4 == 0, F.concat(k.cast("string"), F.lit(',"'), "p_name", F.lit('\n\n""x"", y"\r')))
+        .when(k % 4 == 1, F.concat(F.lit('"a\r\n'), "p_brand", F.lit('"",\n",b"c,"d"')))
+        .otherwise(F.concat_ws(",", k.cast("string"), "p_type", F.lit("")))
+        .alias("line"),
+    )
+    lines = lines.repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey")
+    path = scratch.new_path(spark, "quoted")
+    lines.select("line").write.text(path)
+    return _grid_text(grids.read_grid(spark, path))
+
+
 @query
 def q_grid_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = derived.table(spark, sf_dir, "part")
