@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid.llm.common import sha256_text
+from leafgrid.scratch import store
 
 SPACE = " "
 OTHER_SPACES = "\t\n\x0b\x0c\r"
@@ -98,6 +99,7 @@ def failure_masks(docs: DataFrame, labels: DataFrame, part: str = "source") -> D
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("free"),
         F.min(first).alias("first"),
     )
+    texts = store(texts, "texts")  # read twice below; the documents are scanned once
     # Keyed by text and id, so a text that many parts share stays spread out.
     least = texts.groupBy("same").agg(F.min("first.id").alias("least"))
     texts = texts.join(
