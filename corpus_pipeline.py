@@ -52,7 +52,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_ids. Repeated rows are one document and stay alike.
     """
     carry = tuple(c for c in docs.columns if c != "text")
-    left = dedup_lines(docs, min_words=5, carry=carry)
+    # Stored before it is filtered: a filter on the rewritten text would be pushed
+    # into the rewriting, where it splits the text again for every line.
+    left = store(dedup_lines(docs, min_words=5, carry=carry), "lines-left")
     left = left.filter((F.col("n_deleted") == 0) | F.col("text").rlike(WORD))
     return _with_text(left.select("carried.*", "text"), F.col("text"), docs.columns)
 
