@@ -107,9 +107,14 @@ def prefix_sum(
         .drop("_total")
     )
     w = before.partitionBy(*keys, "_part").orderBy(*order)
+    # Null keys are a group like any other, so they have to meet their carry, too.
+    meets = F.col("_part") == F.col("_of_part")
+    for n, key in enumerate(keys):
+        carried = carried.withColumnRenamed(key, f"_key{n}")
+        meets = meets & F.col(key).eqNullSafe(F.col(f"_key{n}"))
     return (
         ranged.withColumn(out, F.coalesce(F.sum(out).over(w), zero))
-        .join(F.broadcast(carried), [*keys, "_part"], "left")
+        .join(F.broadcast(carried.withColumnRenamed("_part", "_of_part")), meets, "left")
         .withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), zero))
-        .drop("_part", "_carry")
+        .drop("_part", "_carry", "_of_part", *[f"_key{n}" for n in range(len(keys))])
     )

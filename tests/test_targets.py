@@ -141,6 +141,18 @@ def test_prefix_sums_agree_whether_spread_or_not(spark):
     assert sorted(plain.collect(), key=key) == sorted(spread.select(plain.columns).collect(), key=key)
 
 
+def test_prefix_sums_of_null_keys(spark):
+    """A group without a key that runs over many partitions keeps its carry."""
+    df = spark.range(300).select(
+        F.when(F.col("id") % 3 > 0, F.lit("k")).alias("k"), F.lit(None).cast("int").alias("j"), "id"
+    )
+    got = prefix_sum(df, ["k", "j"], ["id"], F.lit(1), "s", True, rows_per_part=10, rows=300)
+    assert got.columns == ["k", "j", "id", "s"]
+    sums = {(r["k"], r["id"]): r["s"] for r in got.collect()}
+    for name, ids in ((None, range(0, 300, 3)), ("k", [i for i in range(300) if i % 3])):
+        assert [sums[name, i] for i in ids] == list(range(len(ids)))
+
+
 def test_jobs_do_not_grow_with_a_chain_of_names(spark):
     """Each name pushes the next one: rounds would take a turn for each."""
     counts = []
