@@ -8,17 +8,20 @@ start on the left to a token end on the right, and widens it until its outer
 tokens are exactly those that both sides have there. What lies beyond is right:
 a byte-pair encoding depends on adjacent tokens only.
 
-The vocabulary splits words at white space, so words are encoded once per task
-and looked up after that. It has no decoder; decoding joins token strings.
+A vocabulary that lowers case and splits words at white space has its words
+encoded once per task and looked up after that; any other encodes whole texts.
+Without a decoder, decoding joins token strings, which Arrow does.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,12 @@ KNOWN_WORDS, LONGEST_KNOWN = 600_000, 64
 # Tokens on which window and side have to agree.
 AGREE = 2
 SPACES = " \n\t\r"
+# New words are encoded this many at a time, with a word of this mark between.
+TOGETHER, MARK = 1_000, "\x01"
 
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+# Fixed value: the parts of words that `_words` is right for.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -53,6 +60,15 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_words = _splits_words(json.loads(self.tokenizer.to_str()))
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.tokens = None
+        if self.tokenizer.decoder is None:
+            held = self.tokenizer.get_vocab(with_added_tokens=True)
+            tokens: list = [None] * (max(held.values(), default=-1) + 1)
+            for token, k in held.items():
+                tokens[k] = token
+            self.tokens = pa.array(tokens, pa.large_string())
         # Tokens of words, in two generations: the older one goes when the newer
         # is full, and a word that is asked for again moves to the newer.
         self.known: dict[bytes, bytes] = {}
@@ -66,27 +82,59 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text: those of its words, one after the other."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, np.int32) for e in found]
         words = [_words(t) for t in texts]
-        wanted = set().union(*words)
-        held = {}
-        for w in wanted:
-            ids = self.known.get(w) or self.older.get(w)
-            if ids is not None:
-                held[w] = ids
-        new = list(wanted - held.keys())
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8") for w in new], add_special_tokens=False
-        )
-        for w, e in zip(new, found):
-            held[w] = np.array(e.ids, np.int32).tobytes()
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
-        self.known.update((w, i) for w, i in held.items() if len(w) <= LONGEST_KNOWN)
-        get = held.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        known, new = self.known, []
+        for w in set().union(*words).difference(known):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        self._learn(new)
+        get = known.__getitem__
+        found = [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
+        for w in new:
+            if len(w) > LONGEST_KNOWN:
+                del known[w]
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add the ids of words, many to a call; those that could mix, one to a call."""
+        alone = [w for w in words if b"\x01" in w or b"<|" in w]
+        rest = [w for w in words if b"\x01" not in w and b"<|" not in w]
+        encode = self.tokenizer.encode_batch_fast
+        for start in range(0, len(rest), TOGETHER):
+            part = rest[start : start + TOGETHER]
+            text = f" {MARK} ".join([w.decode("utf-8") for w in part])
+            ids = np.array(encode([text], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+            if len(cuts) != len(part) - 1:
+                alone += part
+                continue
+            held, begin = ids.tobytes(), 0
+            for w, cut in zip(part, [*cuts, len(ids)]):
+                self.known[w] = held[4 * begin : 4 * cut]
+                begin = cut + 1
+        found = encode([w.decode("utf-8") for w in alone], add_special_tokens=False)
+        for w, e in zip(alone, found):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
+
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
+        """The text of each list of ids."""
+        if self.tokens is None:
+            texts = self.tokenizer.decode_batch(
+                [i.tolist() for i in ids], skip_special_tokens=False
+            )
+            return pa.array(texts, pa.string())
+        ends = np.cumsum([0] + [len(i) for i in ids])
+        held = self.tokens.take(pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), held)
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
     def join(self, left, right):
         """Join (text, ids) of two adjacent halves to that of their whole."""
@@ -130,6 +178,21 @@ class Codec:
         return pieces[0][1]
 
 
+def _splits_words(spec: dict) -> bool:
+    """Whether a vocabulary's words can be encoded one by one, in lower case."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["behavior"] == "Removed"
+        and cuts[0]["invert"]
+        and cuts[0]["pattern"] == {"Regex": _PARTS}
+        and not cuts[1]["add_prefix_space"]
+    )
+
+
 def _words(text: str) -> list[bytes]:
     """Words of a text that can be encoded one by one.
 
@@ -158,8 +221,7 @@ def _encode(batches, path, keep, decoded=False):
             columns = [rows.column(name) for name in keep]
             columns.append(held)
             if decoded:
-                texts = c.decode([i.tolist() for i in ids])
-                columns.append(pa.array(texts, pa.string()))
+                columns.append(c.decode(ids))
             names = [*keep, "ids", "decoded"][: len(columns)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -169,9 +231,9 @@ def _decode(batches, path, keep):
     for batch in batches:
         for start in range(0, batch.num_rows, STEP):
             rows = batch.slice(start, STEP)
-            ids = [i.values.to_numpy().tolist() for i in rows.column("ids")]
+            ids = [i.values.to_numpy() for i in rows.column("ids")]
             columns = [rows.column(name) for name in keep]
-            columns.append(pa.array(c.decode(ids), pa.string()))
+            columns.append(c.decode(ids))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "decoded"])
 
 
@@ -201,6 +263,7 @@ def encode_texts(
     parts = F.pow(F.lit(2), F.ceil(F.log2(n / piece))).cast("long")
     cut = docs.filter(long).select(
         "doc_id",
+        F.spark_partition_id().alias("split"),
         F.xxhash64("text").alias("k1"),
         F.xxhash64(F.lit(1), "text").alias("k2"),
         "text",
@@ -212,12 +275,14 @@ def encode_texts(
     cut = cut.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     ).select(
-        "doc_id", "k1", "k2", "part", F.substring("text", start + 1, end - start).alias("text")
+        "doc_id", "split", "k1", "k2", "part", F.substring("text", start + 1, end - start).alias("text")
     )
-    keep = ["doc_id", "k1", "k2", "part", "text"]
-    encoded = cut.repartition("k1", "part").mapInArrow(
+    # Copies of a text go to tasks by their doc_ids, repeated rows by their split.
+    row = ["doc_id", "split", "k1", "k2"]
+    keep = [*row, "part", "text"]
+    encoded = cut.repartition(*row, "part").mapInArrow(
         lambda it: _encode(it, path, keep),
-        "doc_id long, k1 long, k2 long, part long, text string, ids array<int>",
+        "doc_id long, split int, k1 long, k2 long, part long, text string, ids array<int>",
     )
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
@@ -227,10 +292,10 @@ def encode_texts(
         doc_id = group["doc_id"].iloc[:1].astype("Int64")
         out = pd.DataFrame({"doc_id": doc_id.repeat(rows), "ids": [ids] * rows})
         if decoded:
-            out["decoded"] = codec(path).decode([ids.tolist()])[0]
+            out["decoded"] = codec(path).decode([ids])[0].as_py()
         return out
 
-    joined = encoded.groupBy("doc_id", "k1", "k2").applyInPandas(assemble, schema)
+    joined = encoded.groupBy(*row).applyInPandas(assemble, schema)
     return whole.unionByName(joined)
 
 

@@ -209,6 +209,45 @@ def test_bpe_of_pieces_equals_the_library(spark):
     assert {r.doc_id: r.decoded for r in again} == {r.doc_id: r.decoded for r in got}
 
 
+def test_bpe_of_a_long_text_that_many_rows_share(spark):
+    rng = random.Random(8)
+    hot = " ".join("".join(rng.choices("abcdeé.,", k=6)) for _ in range(90))
+    rows = [(k, hot) for k in range(30)] + [(7, hot)] * 20 + [(None, hot)] * 3
+    rows += [(100 + k, f"plain {k} text") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = bpe.encode_texts(docs, piece=64, decoded=True).collect()
+    tool = bpe.codec().tokenizer
+    want = {x: tool.encode(x, add_special_tokens=False).ids for _, x in rows}
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((k, tuple(want[x])) for k, x in rows)
+    assert all(r.decoded == tool.decode(list(r.ids)) for r in got)
+
+
+def test_words_are_encoded_together_or_alone_alike():
+    rng = random.Random(9)
+    letters = "abXY .,\n\t'<|>\x01 \u00a0\u0301\u00e9\u0130012!?$\u4e2d"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(3000)]
+    texts += ["<|endoftext|> hi", "<|ENDOFTEXT|>", "\x01", "a \x01 b", "z" * 500]
+    held = bpe.Codec(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    ids = held.encode(texts)
+    assert [i.tolist() for i in ids] == [
+        held.tokenizer.encode(x, add_special_tokens=False).ids for x in texts
+    ]
+    assert held.decode(ids).to_pylist() == [held.tokenizer.decode(i.tolist(), skip_special_tokens=False) for i in ids]
+    assert b"z" * 500 not in held.known
+
+
+def test_another_vocabulary_takes_whole_texts(spark):
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [None, "", "Two  Words\n", "naïve café 12,5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tool = bpe.codec(path).tokenizer
+    assert not bpe.codec(path).by_words
+    for r in bpe.encode_texts(docs, path, decoded=True).collect():
+        ids = tool.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids
+        assert r.decoded == tool.decode(ids, skip_special_tokens=False)
+
+
 def test_chats_read_back_as_they_were(spark):
     rng = random.Random(1)
     said = ["</s>[INST] ok [/INST]", "a\\<|im_end|>\nb", "<|im_start|>user\nhi<|im_end|>\n", "\\", "", None, "<<SYS>>"]
