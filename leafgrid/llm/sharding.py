@@ -3,12 +3,13 @@
 Documents with equal text are one atomic group. Groups are laid out in the order
 of their smallest doc_id. The smallest capacity with which that line can be cut
 into the wanted number of shards is found by binary search; each capacity is
-checked greedily (fill a shard while the next group fits). The line is then cut
-there, so the largest shard is as small as an ordered, undivided layout allows.
+checked greedily (fill a shard while the next group fits), so the largest shard
+is as small as an ordered, undivided layout allows. Within that capacity the line
+is cut where each shard comes nearest to its share of what is left.
 
 The line itself stays distributed: prefix sums of the group sizes come from
-range partitions. The search needs only "the last group end at or below x". It
-is answered from a bounded digest (smallest and largest end per bin), which is
+range partitions. The search needs only the group ends next to a place. That is
+answered from a bounded digest (smallest and largest end per bin), which is
 refined around the cuts until every answer on the way is exact.
 """
 
@@ -81,7 +82,7 @@ def minimax_cuts(
             high = capacity
         else:
             low = capacity + 1
-    return digest.walk(low, shards)
+    return digest.even(low, shards)
 
 
 class _Digest:
@@ -121,6 +122,58 @@ class _Digest:
                 ends.append(at)
             if not doubts:
                 return ends
-            doubts = sorted(set(doubts))
-            rest = [s for s in self.spans if s not in set(doubts)]
-            self.spans = sorted(rest + self._bounds(doubts))
+            self._refine(doubts)
+
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Shard ends near equal shares, no shard above a capacity that suffices.
+
+        Each end is the one nearest to an equal share of what is left, if the
+        rest still fits into the shards that follow. While groups are left, a
+        shard has one.
+        """
+        total = self.spans[-1][1] if self.spans else 0
+        while True:
+            doubts: list[tuple[int, int]] = []
+            # The smallest place from which 0, 1, 2 ... shards reach the end.
+            back = [total]
+            for _ in range(shards - 1):
+                back.append(self._at_least(back[-1] - capacity, doubts))
+            ends, at = [], 0
+            for left in range(shards, 0, -1):
+                aim = at + (total - at) // left
+                below, above = self._at_most(aim, doubts), self._at_least(aim, doubts)
+                end = below if aim - below <= above - aim else above
+                end = max(end, self._at_least(min(at + 1, total), doubts), back[left - 1])
+                at = min(end, self._at_most(at + capacity, doubts))
+                ends.append(at)
+            if not doubts:
+                return ends
+            self._refine(doubts)
+
+    def _at_most(self, place: int, doubts: list) -> int:
+        """The last end at or below a place, 0 without one."""
+        k = bisect_right(self.spans, (place, float("inf"))) - 1
+        if k < 0:
+            return 0
+        first, last = self.spans[k]
+        if first < place < last:
+            doubts.append((first, last))
+        return last if last <= place else first
+
+    def _at_least(self, place: int, doubts: list) -> int:
+        """The first end at or above a place; 0 is one."""
+        if place <= 0:
+            return 0
+        k = bisect_right(self.spans, (place, float("inf"))) - 1
+        if k >= 0:
+            first, last = self.spans[k]
+            if first < place < last:
+                doubts.append((first, last))
+            if place <= last:
+                return first if first == place else last
+        return self.spans[min(k + 1, len(self.spans) - 1)][0]
+
+    def _refine(self, doubts: list[tuple[int, int]]) -> None:
+        doubts = sorted(set(doubts))
+        rest = [s for s in self.spans if s not in set(doubts)]
+        self.spans = sorted(rest + self._bounds(doubts))
