@@ -106,8 +106,8 @@ def near_vectors(
     are in double precision. Vectors of different lengths aren't compared.
 
     Vectors that are null, empty, zero or hold null or non-finite components are
-    linked with nothing. Null vec_ids count as vectors but give component null,
-    not kept, unless linked. Repeated rows are vectors of their own. An empty
+    linked with nothing. Null vec_ids count as vectors; they name no component and
+    are not kept. A component that has null vec_ids only is null. Repeated rows are vectors of their own. An empty
     table gives no rows. Extra columns are not read.
     """
     rows = vectors.select(
@@ -121,13 +121,14 @@ def near_vectors(
         rows.filter("key is not null")
         .groupBy("key")
         .agg(
-            F.min("vec_id").alias("id"),
+            F.min("vec_id").alias("first"),
             F.count(F.lit(1)).alias("copies"),
             F.first("v").alias("v"),
         ),
         "classes",
     )
-    classes = classes.withColumn("id", F.coalesce("id", F.xxhash64("key")))
+    # A class without an id is a node all the same, but no component's name.
+    classes = classes.withColumn("id", F.coalesce("first", F.xxhash64("key")))
 
     def hash_rows(batches):
         for batch in batches:
@@ -144,7 +145,7 @@ def near_vectors(
             )
 
     hashed = store(
-        classes.drop("key").mapInArrow(
+        classes.select("id", "copies", "v").mapInArrow(
             hash_rows, "id long, copies long, v array<double>, codes array<long>"
         ),
         "hashed",
@@ -195,12 +196,14 @@ def near_vectors(
     )
     links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
     named = store(
-        classes.select("key", "id", "copies")
+        classes.select("key", "id", "first", "copies")
         .join(counts, "id", "left")
         .join(reach, F.col("id") == F.col("node"), "left")
-        .select("key", links.alias("n_links"), F.coalesce("component", "id").alias("found")),
+        .select("key", "first", links.alias("n_links"), F.coalesce("component", "id").alias("group")),
         "named",
     )
+    lowest = named.groupBy("group").agg(F.min("first").alias("found"))
+    named = named.join(lowest, "group").select("key", "n_links", "found")
     component = F.coalesce("found", "vec_id")
     return rows.select("vec_id", "key").join(named, "key", "left").select(
         "vec_id",
