@@ -18,7 +18,7 @@ UNKNOWN = "und"
 # Hashed places of the n-grams of two and three bytes.
 PLACES = 2_048
 # At most about so many documents are learned from, spread over the languages.
-FIT_DOCS, FIT_CHARS = 4_000, 100_000
+FIT_DOCS = 4_000
 AMBIGUOUS = 0.2
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -121,9 +121,9 @@ class CodeModel:
 def fit_language(docs: DataFrame, docs_limit: int = FIT_DOCS) -> CodeModel:
     """Learn from ``docs`` (text, lang) with both given.
 
-    The sample is bounded: about ``docs_limit`` texts of up to FIT_CHARS
-    characters, picked by a hash of the text, a like number of each language
-    (all of a rare one). Languages are held by the driver.
+    The sample is bounded: about ``docs_limit`` whole texts of any length, picked
+    by a hash of the text, a like number of each language (all of a rare one).
+    Languages are held by the driver.
     """
     marked = docs.filter("lang is not null and text is not null").select("lang", "text")
     counts = {r["lang"]: r["count"] for r in marked.groupBy("lang").count().collect()}
@@ -135,9 +135,7 @@ def fit_language(docs: DataFrame, docs_limit: int = FIT_DOCS) -> CodeModel:
         *[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.2 * each / n))]
     )
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    picked = marked.filter(chance < share[F.col("lang")]).filter(
-        F.length("text") <= FIT_CHARS
-    )
+    picked = marked.filter(chance < share[F.col("lang")])
 
     def describe(batches):
         for batch in batches:

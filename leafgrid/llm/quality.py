@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid.scratch import store
+
 # Words of a passage. The last one of a text may be shorter.
 PASSAGE = 64
-# At most so many labelled documents are learned from, none of more passages.
-FIT_DOCS, FIT_PASSAGES = 3_000, 200
+# At most so many labelled documents are learned from, fewer if these have more
+# than so many passages in all.
+FIT_DOCS, FIT_PASSAGES = 3_000, 100_000
 CODE, GATE = 24, 12
 
 _KINDS = np.full(256, 15, np.int64)
@@ -146,49 +149,60 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, docs_limit: int = FIT_DOCS) -> AttentionModel:
+def fit_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    docs_limit: int = FIT_DOCS,
+    passages_limit: int = FIT_PASSAGES,
+) -> AttentionModel:
     """Learn from ``labels`` (doc_id, quality) of ``docs`` (doc_id, text).
 
-    The sample is bounded: ``docs_limit`` documents, picked by a hash of the
-    doc_id, of at most FIT_PASSAGES passages. Its passages are described by the
-    executors. Null labels, ids and texts are left out. Without labels, or with
-    one label only, scores hardly differ.
+    The sample is bounded: ``docs_limit`` documents in the order of a hash of the
+    doc_id, whole texts of any length; it ends with the document that brings it
+    to ``passages_limit`` passages. Its passages are described by the executors.
+    Null labels, ids and texts are left out. Of several texts of a doc_id the
+    smallest counts. Without labels, or with one label only, scores hardly differ.
     """
     marked = labels.filter("quality is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     )
-    limit = FIT_PASSAGES * PASSAGE
     picked = (
         marked.groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(docs_limit)
     )
-    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(picked), "doc_id"
+    fit = (
+        docs.filter("text is not null")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min("text").alias("text"))
     )
 
     def describe(batches):
         for batch in batches:
             rows = [passages(t.as_py()) for t in batch.column("text")]
-            keep = [len(r) <= FIT_PASSAGES for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").filter(pa.array(keep)),
-                    batch.column("quality").filter(pa.array(keep)),
-                    pa.array([r.astype(np.float16).tobytes() for r, k in zip(rows, keep) if k], pa.binary()),
+                    batch.column("doc_id"),
+                    batch.column("quality"),
+                    pa.array([len(r) for r in rows], pa.int64()),
+                    pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary()),
                 ],
-                ["doc_id", "quality", "rows"],
+                ["doc_id", "quality", "n", "rows"],
             )
 
-    found = (
-        fit.filter("text is not null")
-        .filter(F.length("text") <= limit * 40)
-        .mapInArrow(describe, "doc_id long, quality int, rows binary")
-        .dropDuplicates(["doc_id"])
-        .collect()
+    bags = store(
+        fit.mapInArrow(describe, "doc_id long, quality int, n long, rows binary"), "bags"
     )
-    found.sort(key=lambda r: r["doc_id"])
+    sizes = bags.select("doc_id", "n", F.xxhash64("doc_id").alias("place")).collect()
+    sizes.sort(key=lambda r: (r["place"], r["doc_id"]))
+    before = np.cumsum([0] + [r["n"] for r in sizes])
+    chosen = [r["doc_id"] for r, n in zip(sizes, before) if n < passages_limit]
+    if len(chosen) < len(sizes):
+        bags = bags.filter(F.col("doc_id").isin(chosen))
+    found = sorted(bags.collect(), key=lambda r: r["doc_id"])
     model = AttentionModel()
     if found:
         bags = [np.frombuffer(r["rows"], np.float16).reshape(-1, FEATURES) for r in found]
