@@ -13,7 +13,7 @@ from leafgrid.llm.graph import components
 from leafgrid.llm.line_dedup import dedup_lines
 from leafgrid.llm.mixing import fill_targets, mix_sources, sainte_lague, taken_words
 from leafgrid.llm.near_dedup import near_duplicates, shingles, superminhash
-from leafgrid.llm.sharding import shard_documents
+from leafgrid.llm.sharding import minimax_cuts, shard_documents
 
 # Extra columns whose names operators use inside.
 CLASH = "k1 long, n long, key string, id long, line long, size long, start long"
@@ -186,6 +186,49 @@ def test_shards_are_minimax_and_gapless(docs, none):
     assert shard_documents(none).count() == 0
 
 
+def plain_cuts(weights, shards):
+    """The cuts by trying every capacity and every end."""
+    ends = np.cumsum(weights).tolist()
+    total, places = ends[-1], [0, *ends]
+
+    def greedy(at, capacity, n):
+        for _ in range(n):
+            at = max(e for e in places if e <= at + capacity)
+        return at == total
+
+    best = next(c for c in range(max(weights), total + 1) if greedy(0, c, shards))
+    cuts, at = [], 0
+    for left in range(shards, 0, -1):
+        aim = at + (total - at) // left
+        able = [e for e in places if at <= e <= at + best and greedy(e, best, left - 1)]
+        able = [e for e in able if e > at] or able
+        at = min(able, key=lambda e: (abs(e - aim), e))
+        cuts.append(at)
+    return best, cuts
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_are_even_within_the_smallest_capacity(spark, seed):
+    rng = random.Random(seed)
+    weights = [rng.choice([1, 2, 3, 9, 30]) for _ in range(80)]
+    weights[rng.randrange(80)] = (0, 400, 2000, 60)[seed] or 1
+    line = spark.createDataFrame([(int(e),) for e in np.cumsum(weights)], "end long")
+    best, want = plain_cuts(weights, 7)
+    got = minimax_cuts(line, sum(weights), max(weights), 7, bins=16)
+    assert got == want and max(np.diff([0, *got])) == best
+
+
+def test_a_large_group_leaves_no_shard_empty(spark):
+    rows = [(k, "x" * 100) for k in range(300)] + [(300 + k, f"{k:03d}" * 33) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = Counter()
+    for r in shard_documents(docs).collect():
+        held[r.shard] += r["size"]
+    assert len(held) == 16 and max(held.values()) == 300 * 101
+    rest = sorted(held.values())[:-1]
+    assert rest[-1] - rest[0] <= 200
+
+
 def long_texts():
     rng = random.Random(5)
     unsplit = "".join(rng.choice("abcdeéñ'!?.9") for _ in range(3000))
@@ -296,6 +339,19 @@ def test_near_vectors_equal_all_pairs(spark):
     assert embedding_dedup.near_vectors(frame.filter("false")).count() == 0
 
 
+def test_vectors_without_ids_name_no_component(spark):
+    x = np.eye(12)
+    near = (x[0] + 0.1 * x[1]).tolist()
+    rows = [(5, x[0].tolist()), (None, near), (None, near), (9, near), (-3, x[4].tolist())]
+    rows += [(None, x[6].tolist()), (None, (x[6] + 0.1 * x[7]).tolist()), (None, (x[4] + 0.1 * x[5]).tolist()), (None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(frame).collect())
+    assert got == Counter({
+        (5, 3, 5, True): 1, (9, 3, 5, False): 1, (None, 3, 5, False): 2, (-3, 1, -3, True): 1,
+        (None, 1, -3, False): 1, (None, 1, None, False): 2, (None, 0, None, False): 1,
+    })
+
+
 def test_attention_gradients_are_right():
     rng = np.random.default_rng(0)
     model = quality.AttentionModel()
@@ -331,6 +387,64 @@ def test_quality_is_learned(spark, none):
     assert quality.score_quality(none, quality.fit_quality(none, train.filter("false"))).count() == 0
 
 
+def test_quality_scores_equal_a_plain_version(spark):
+    model = quality.AttentionModel()
+    rng = np.random.default_rng(3)
+    model.p = {k: v + rng.standard_normal(v.shape).astype(v.dtype) / 5 for k, v in model.p.items()}
+    texts = [None, "", "one", "Some words, $$$ 12\n" * 70, "z" * 3000, " ".join(map(str, range(900)))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for r in quality.score_quality(frame, model).collect():
+        codes, marks = [], []
+        for x in quality.passages(texts[r.doc_id]).astype(float):
+            h = np.tanh(x @ p["E"])
+            gate = 1 / (1 + np.exp(-(h @ p["U"])))
+            codes.append(h)
+            marks.append(np.exp(sum(np.tanh(h @ p["V"]) * gate * p["w"])))
+        z = sum(m * h for m, h in zip(marks, codes)) / sum(marks)
+        assert abs(r.score - 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))) < 1e-4
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(14)
+    good = [(k, " ".join(rng.choices(["alpha", "beta."], k=14_000)), 1) for k in range(12)]
+    junk = [(50 + k, " ".join(rng.choices(["a$$", "b||"], k=14_000)), 0) for k in range(12)]
+    frame = spark.createDataFrame(good + junk, "doc_id long, text string, quality int").repartition(3)
+    for limit in (100_000, 2_000):
+        model = quality.fit_quality(frame.select("doc_id", "text"), frame.select("doc_id", "quality"), passages_limit=limit)
+        got = {r.doc_id: r.score for r in quality.score_quality(frame, model).collect()}
+        assert min(got[k] for k in range(12)) > max(got[50 + k] for k in range(12))
+
+
+def test_codes_are_read_as_by_a_plain_loop():
+    rng = np.random.default_rng(12)
+    model = language.CodeModel([f"l{k}" for k in range(7)])
+    model.weights = rng.standard_normal(model.weights.shape)
+    model.bias = rng.standard_normal(model.bias.shape)
+    model.trust = rng.random(model.trust.shape) + 0.1
+    x = np.array([language.profile(t) for t in ("", "abc", "ça va bien", "x" * 900, "one two three")])
+    best, score, unsure = model.predict(x)
+    for row, b, s, u in zip(x, best, score, unsure):
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for bit, w, c, trust in zip(word, model.weights.T, model.bias, model.trust):
+                margin = float(row @ w + c)
+                loss += trust * np.log1p(np.exp(-margin if bit else margin))
+            losses.append(loss / model.trust.sum() * len(model.trust))
+        near = sorted(np.exp(min(losses) - np.array(losses)))
+        assert b == int(np.argmin(losses))
+        assert abs(s - near[-1] / sum(near)) < 1e-6
+        assert u == ((near[-1] - near[-2]) / sum(near) < language.AMBIGUOUS)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(k, ("ka lo mi " if k % 2 else "sch ung eit ") * 12_000, "ab"[k % 2]) for k in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify_language(frame, language.fit_language(frame)).join(frame, "doc_id")
+    assert all(r.lang_pred == r.lang for r in got.collect())
+
+
 def test_codewords_are_apart():
     for classes in (2, 4, 6, 9):
         code = language.codewords(classes)
