@@ -143,9 +143,17 @@ def sort_struct() -> Column:
 
 def size_in_bytes(size: Column | str = "size") -> Column:
     """Whole-number text to BIGINT; anything else counts as 0 bytes."""
-    whole = F.regexp_extract(_col(size), r"^\s*([+-]?[0-9]+(?:_[0-9]+)*)\s*\z", 1)
-    digits = F.replace(whole, F.lit("_"), F.lit(""))
-    return F.coalesce(digits.try_cast("long"), F.lit(0))
+    return F.coalesce(_whole_number(size), F.lit(0))
+
+
+def is_malformed_size(size: Column | str = "size") -> Column:
+    filled = F.length(_col(size)) > 0
+    return F.coalesce(filled & _whole_number(size).isNull(), F.lit(False))
+
+
+def _whole_number(text: Column | str) -> Column:
+    whole = F.regexp_extract(_col(text), r"^\s*([+-]?[0-9]+(?:_[0-9]+)*)\s*\z", 1)
+    return F.replace(whole, F.lit("_"), F.lit("")).try_cast("long")
 
 
 def format_bytes(n: Column) -> Column:

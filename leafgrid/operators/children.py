@@ -32,12 +32,12 @@ def child_edges(files: DataFrame) -> DataFrame:
 def list_children(
     files: DataFrame, folder_id: str, corpora: str = "allDrives"
 ) -> DataFrame:
-    """Live direct children of a folder, folders first, then by name."""
+    """Live direct children of a folder, in no order; see ``in_order``."""
     if "parent" in files.columns:
         inside = F.col("parent") == folder_id
     else:
         inside = F.array_contains("parents", F.lit(folder_id))
-    return in_corpora(files, corpora).filter(is_live() & inside).orderBy(sort_struct())
+    return in_corpora(files, corpora).filter(is_live() & inside)
 
 
 def shared_items(files: DataFrame) -> DataFrame:
@@ -50,7 +50,12 @@ def shared_with_me(files: DataFrame, name: str | None = None) -> DataFrame:
     items = shared_items(files)
     if name:
         items = items.filter(F.lower("name") == F.lower(F.lit(name)))
-    return items.orderBy(sort_struct())
+    return items
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """Folders first, then by name in any case, for those who print or write rows."""
+    return files.orderBy(sort_struct())
 
 
 def get_metadata(files: DataFrame, ids: DataFrame) -> DataFrame:

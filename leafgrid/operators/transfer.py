@@ -103,13 +103,18 @@ def entry_path(directory: Column, name: Column) -> Column:
     )
 
 
-def path_conflicts(targets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def path_conflicts(
+    targets: DataFrame,
+    existing: DataFrame | None = None,
+    out_dir: str | None = None,
+) -> DataFrame:
     """Directories that cannot be made because a file has their path.
 
     ``targets`` is a manifest with its ``target`` paths. The file either exists
     already (``existing``: ``path``, ``is_dir``) or comes earlier in the walk.
     Folders of the same path merge without a conflict; a plan without rows here
-    can be carried out.
+    can be carried out. ``out_dir`` is the output folder, which the targets name
+    as well unless the walk found nothing.
     """
     made = (
         targets.filter(F.col("action") == "mkdir")
@@ -127,6 +132,9 @@ def path_conflicts(targets: DataFrame, existing: DataFrame | None = None) -> Dat
     if existing is not None:
         top = targets.filter(F.col("depth") == 0).select(F.col("dir").alias("path"))
         parents = top.distinct().union(made.select("path"))
+        if out_dir is not None:
+            given = targets.sparkSession.range(1).select(F.lit(out_dir).alias("path"))
+            parents = parents.union(given.select(clean_path("path").alias("path")))
         files = existing.filter(~F.col("is_dir")).select(clean_path("path").alias("path"))
         earlier = earlier.union(parents.join(files, "path", "left_semi"))
     reason = F.lit("a file with that name exists")

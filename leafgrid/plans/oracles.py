@@ -67,11 +67,11 @@ drives AS (
 )"""
 
 
-def walk(depth: int | None = None) -> str:
+def walk(depth: int | None = None, root: str = "'ALL'") -> str:
     within = "true" if depth is None else f"lvl + 1 < {depth}"
     return f"""{FILES},
 descended AS (
-  SELECT 'ALL' AS fid, CAST([] AS VARCHAR[]) AS ancestors, 0 AS lvl
+  SELECT {root} AS fid, CAST([] AS VARCHAR[]) AS ancestors, 0 AS lvl
   UNION ALL
   SELECT e.id, list_append(d.ancestors, e.name), d.lvl + 1
   FROM descended d JOIN edges e ON e.parent = d.fid
@@ -120,7 +120,8 @@ def size_text(n: str) -> str:
     return f"CASE{cases} ELSE printf('%.1f PB', CAST({n} AS DOUBLE) / 1024.0::DOUBLE ** 5) END"
 
 
-LISTING = f"""{walk()},
+def listing(root: str = "'ALL'") -> str:
+    return f"""{walk(root=root)},
 listing AS (
   SELECT {URL} AS url,
          array_to_string(list_transform(ancestors, lambda a: a || '/'), '') || name
@@ -131,15 +132,19 @@ listing AS (
 )"""
 
 
-def manifest(out_dir: str) -> str:
+LISTING = listing()
+
+
+def manifest(out_dir: str, depth: int | None = None) -> str:
     below = "array_to_string(ancestors, '/')"
     if out_dir == ".":
         place = f"CASE WHEN len(ancestors) = 0 THEN '.' ELSE {below} END"
     else:
         place = f"CASE WHEN len(ancestors) = 0 THEN '{out_dir}' ELSE '{out_dir}/' || {below} END"
-    return f"""{walk()},
+    return f"""{walk(depth)},
 manifest AS (
-  SELECT id, CASE WHEN mime = {FOLDER} THEN 'mkdir'
+  SELECT id, CASE WHEN mime = {FOLDER} AND NOT descended THEN 'skip_depth'
+           WHEN mime = {FOLDER} THEN 'mkdir'
            WHEN {KIND} = 'skip' THEN 'skip_native' ELSE {KIND} END AS action,
          {place} AS dir, name || {EXTENSION} AS base, lower(name) AS lname
   FROM walk
@@ -320,6 +325,76 @@ SELECT 'O' || o_orderkey AS id, o_orderpriority AS name,
   o_orderkey % 11 = 0 AS trashed
 FROM (SELECT *, o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 AS odd FROM orders)""",
     "q_drives": f"WITH {DRIVES} SELECT id, type, name, url, ord FROM drives",
+    "q_drive_catalog": """
+SELECT 'ROOT' AS id, 'personal' AS type, 'My Drive' AS name,
+  'https://drive.google.com/drive/my-drive' AS url, 0::BIGINT AS ord
+UNION ALL SELECT 'C' || c_custkey, 'shared', c_name,
+  'https://drive.google.com/drive/folders/C' || c_custkey, (c_custkey + 1)::BIGINT
+FROM customer""",
+    "q_snapshot": """
+SELECT 'O' || o_orderkey AS id,
+  CASE WHEN o_orderkey % 6 = 0 THEN o_orderpriority || ' new' ELSE o_orderpriority END AS name,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+    || CASE WHEN o_orderkey % 6 = 0 THEN 'Z' ELSE '' END AS "modifiedTime"
+FROM orders
+UNION ALL SELECT 'P' || p_partkey, p_name, NULL FROM part""",
+    "q_rejects": """
+WITH records AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id,
+    CASE WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS bad_time,
+    CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey || ' kB'
+         WHEN o_orderkey % 19 = 0 THEN '1.5'
+         WHEN o_orderkey % 23 = 0 THEN '90000000000000000000' END AS bad_size
+  FROM orders
+)
+SELECT id, 'modifiedTime' AS field, bad_time AS value, 'no date' AS reason
+FROM records WHERE bad_time IS NOT NULL
+UNION ALL SELECT id, 'size', bad_size, 'no number of bytes' FROM records
+WHERE bad_size IS NOT NULL
+UNION ALL SELECT id, NULL, NULL, NULL FROM records
+WHERE bad_time IS NULL AND bad_size IS NULL""",
+    "q_save_listing": f"""WITH RECURSIVE {LISTING}
+SELECT 'map' AS sink, repeat('  ', depth) || '- [' || name || '](' || url || ')' AS line
+FROM listing
+UNION ALL SELECT 'csv', concat_ws('|', regexp_replace(path, '/+$', ''), name, file_type,
+  modified, owner, shared_by, url) FROM listing
+UNION ALL SELECT 'csv', 'path|name|type|modified|owner|shared_by|url'""",
+    "q_list_path": f"""WITH RECURSIVE {listing(
+        "(SELECT 'N' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey "
+        "WHERE r_name = 'ASIA' AND n_name = 'NATION_7')"
+    )} SELECT * FROM listing""",
+    "q_list_shared_path": f"""WITH RECURSIVE {listing("'S_src1'")} SELECT * FROM listing""",
+    "q_children_edges": f"""WITH {FILES}
+SELECT id, name, mime AS "mimeType" FROM edges WHERE parent = 'PARTS'""",
+    "q_walk_edges": f"""WITH RECURSIVE {walk()}
+SELECT id, name, array_to_string(ancestors, '/') AS ancestors, depth, descended FROM walk""",
+    "q_manifest_depth2": f"""WITH RECURSIVE {manifest('out', 2)}
+SELECT id, action, dir, base FROM manifest""",
+    "q_safe_names": r"""
+SELECT p_partkey, CASE p_partkey % 7
+  WHEN 0 THEN '.._' || p_name || '_' || p_brand
+  WHEN 1 THEN p_name || '_' || p_type
+  WHEN 2 THEN '__' WHEN 3 THEN '_' WHEN 4 THEN 'file'
+  WHEN 5 THEN '.' || p_name ELSE p_name END AS safe
+FROM part""",
+    "q_range_edits": f"""WITH {GRID}, writes AS (
+  SELECT o_custkey + 1 AS row_num, 'c' AS col, o_orderpriority AS v, o_orderkey AS seq
+  FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_custkey + 2, 'c', lower(o_orderpriority), o_orderkey
+  FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_custkey + unnest([1, 2]), 'd', o_orderstatus, o_orderkey
+  FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_custkey + 2, 'ab', o_orderstatus, o_orderkey
+  FROM orders WHERE o_orderkey % 2 = 1),
+edits AS (
+  SELECT row_num, max_by(v, seq) FILTER (WHERE col = 'c') AS c,
+    max_by(v, seq) FILTER (WHERE col = 'd') AS d, max_by(v, seq) FILTER (WHERE col = 'ab') AS ab
+  FROM writes GROUP BY ALL)
+SELECT tab, s.row_num, CASE WHEN tab = 'suppliers' THEN array_to_string(cells, '|')
+  ELSE array_to_string(cells[1:2], '|') || '|' || coalesce(c, cells[3]) || '|'
+    || coalesce(d, cells[4]) || '|' || cells[5]
+    || CASE WHEN ab IS NOT NULL THEN repeat('|', 23) || ab ELSE '' END END AS cells
+FROM sheet s LEFT JOIN edits e ON e.row_num = s.row_num""",
     "q_grid_read": """
 SELECT 'Sheet1' AS tab, p_partkey + 1 AS row_num,
   CASE WHEN p_partkey % 9 = 0 THEN ''

@@ -17,10 +17,14 @@ from leafgrid.functions.catalog import (
     shared_by,
 )
 from leafgrid.operators import children, grid, keyed, links, lookup, resolve
+from leafgrid.functions.names import safe_filename
 from leafgrid.operators import targets, transfer, walk
-from leafgrid.plans import derived
+from leafgrid.plans import browse, derived
 from leafgrid.plans.download import plan_download
-from leafgrid.sources import grids, listings, pages
+from leafgrid.sources import drives, edges, grids, listings, pages
+from leafgrid.sources.rejects import split_rejects
+from leafgrid.sources.snapshot import read_snapshot
+from leafgrid.streaming.pages import stream_file_pages, upsert_new_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +92,84 @@ def q_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.drives(spark, sf_dir)
 
 
+@query
+def q_drive_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog with a drive for each customer, saved over a shorter one and loaded."""
+    shared = derived.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), "c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.col("c_custkey").alias("ord"),
+    )
+    root = spark.range(1).select(F.lit("ROOT").alias("id"))
+    path = scratch.new_path(spark, "drives")
+    for part in (shared.filter("ord % 2 = 0"), shared):
+        drives.save_drives(drives.read_drives(root, part), path)
+    return drives.load_drives(spark, path)
+
+
+def _write_drop(records: DataFrame, path: str) -> None:
+    """A drop of page files: a hundred records a page, one page a line."""
+    record = F.struct("id", "name", "modifiedTime")
+    page = records.groupBy(F.floor(F.col("n") / 100)).agg(F.collect_list(record).alias("files"))
+    page.select(F.to_json(F.struct("files"))).write.mode("append").text(path)
+
+
+@query
+def q_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a first drop; newer, older and new records in a second; then the
+    first drop once more. Each is merged by the stream that read the one before."""
+    orders = derived.table(spark, sf_dir, "orders")
+    time = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("o_orderkey")
+    first = orders.select(
+        k.alias("n"),
+        F.concat(F.lit("O"), k).alias("id"),
+        F.col("o_orderpriority").alias("name"),
+        time.alias("modifiedTime"),
+    )
+    changed = orders.filter(k % 3 == 0).select(
+        k.alias("n"),
+        F.concat(F.lit("O"), k).alias("id"),
+        F.concat("o_orderpriority", F.lit(" new")).alias("name"),
+        F.when(k % 2 == 0, F.concat(time, F.lit("Z")))
+        .when(k % 5 != 0, F.lit("1970-01-01T00:00:00"))
+        .alias("modifiedTime"),
+    )
+    added = derived.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("n"),
+        F.concat(F.lit("P"), "p_partkey").alias("id"),
+        F.col("p_name").alias("name"),
+        F.lit(None).cast("string").alias("modifiedTime"),
+    )
+    drops, kept, mark = (scratch.new_path(spark, n) for n in ("drops", "snapshot", "mark"))
+    for drop in (first, changed.unionByName(added), first):
+        _write_drop(drop, drops)
+        upsert_new_pages(stream_file_pages(spark, drops), kept, mark).awaitTermination()
+    return read_snapshot(spark, kept).select("id", "name", "modifiedTime")
+
+
+@query
+def q_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    records = derived.table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("id"),
+        F.when(k % 13 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(k % 17 == 0, F.lit(""))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+        .alias("modifiedTime"),
+        F.when(k % 11 == 0, F.concat(k.cast("string"), F.lit(" kB")))
+        .when(k % 19 == 0, F.lit("1.5"))
+        .when(k % 23 == 0, F.concat(F.lit("9"), F.repeat(F.lit("0"), 19)))
+        .when(k % 2 == 0, (k * 7).cast("string"))
+        .alias("size"),
+    )
+    readable, rejects = split_rejects(records)
+    nothing = F.lit(None).cast("string")
+    return readable.select(
+        "id", nothing.alias("field"), nothing.alias("value"), nothing.alias("reason")
+    ).unionByName(rejects)
+
+
 @query
 def q_grid_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = derived.table(spark, sf_dir, "part")
@@ -147,9 +229,61 @@ def q_folder_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.folder_map(listing).select("line")
 
 
+@query
+def q_save_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One walk saved to a folder map and a CSV file, both read back."""
+    rows = walk.listing(derived.files(spark, sf_dir), EVERYTHING)
+    home = scratch.new_path(spark, "saved")
+    listings.save_listing(rows, [f"{home}/map.md", f"{home}/rows.csv"])
+    cells = [f"c{i} STRING" for i in range(7)]
+    table = spark.read.schema(",".join(cells)).csv(f"{home}/rows.csv", escape='"')
+    return (
+        spark.read.text(f"{home}/map.md")
+        .select(F.lit("map").alias("sink"), F.col("value").alias("line"))
+        .unionByName(
+            table.select(
+                F.lit("csv").alias("sink"),
+                F.array_join(F.array(*table.columns), "|", "").alias("line"),
+            )
+        )
+    )
+
+
+@query
+def q_list_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return browse.list_path(
+        derived.files(spark, sf_dir), derived.drives(spark, sf_dir), "/asia/nation_7/", None
+    ).drop("sort_key")
+
+
+@query
+def q_list_shared_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return browse.list_shared(
+        derived.files(spark, sf_dir), "SRC1", None
+    ).drop("sort_key")
+
+
 # -- tree and paths --
 
 
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "edges")
+    edges.write_edges(derived.files(spark, sf_dir), path)
+    return edges.read_edges(spark, path)
+
+
+@query
+def q_children_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_children, from row groups of the edge table."""
+    found = children.list_children(_laid_out(spark, sf_dir), "PARTS")
+    return found.select("id", "name", "mimeType")
+
+
+@query
+def q_walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk_text(walk.walk_tree(_laid_out(spark, sf_dir), EVERYTHING))
+
+
 @query
 def q_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = derived.files(spark, sf_dir)
@@ -326,6 +460,29 @@ def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir, "out/").select("id", "action", "dir", "base")
 
 
+@query
+def q_manifest_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders at the end of the walk are skipped, not made."""
+    rows = walk.walk_tree(derived.files(spark, sf_dir), EVERYTHING, 2)
+    return transfer.transfer_manifest(rows, "out").select("id", "action", "dir", "base")
+
+
+@query
+def q_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    odd = (
+        F.when(k % 7 == 0, F.concat(F.lit(" ../"), "p_name", F.lit("\\"), "p_brand", F.lit("\t")))
+        .when(k % 7 == 1, F.concat("p_name", F.lit("\x00"), "p_type", F.lit("\n\n")))
+        .when(k % 7 == 2, F.lit(" .. "))
+        .when(k % 7 == 3, F.lit("."))
+        .when(k % 7 == 4, F.lit(" \t "))
+        .when(k % 7 == 5, F.concat(F.lit("."), "p_name"))
+        .otherwise(F.col("p_name"))
+    )
+    part = derived.table(spark, sf_dir, "part")
+    return part.select("p_partkey", safe_filename(odd).alias("safe"))
+
+
 @query
 def q_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = scratch.store(_manifest(spark, sf_dir, "."), "manifest")
@@ -466,6 +623,26 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_text(changed)
 
 
+@query
+def q_range_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits given as A1 ranges; even orders write four cells, odd ones one far out."""
+    near = F.array(
+        F.array("o_orderpriority", "o_orderstatus"),
+        F.array(F.lower("o_orderpriority"), F.col("o_orderstatus")),
+    )
+    row, even = F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
+    writes = derived.table(spark, sf_dir, "orders").select(
+        F.when(even, F.concat(F.lit("'customers'!c"), row + 1, F.lit(":D"), row + 2))
+        .otherwise(F.concat(F.lit("customers!AB"), row + 2))
+        .alias("range"),
+        F.when(even, near).otherwise(F.array(F.array("o_orderstatus"))).alias("values"),
+        F.col("o_orderkey").alias("seq"),
+    )
+    grid_ = derived.customer_grid(spark, sf_dir)
+    changed, _ = grid.apply_edits(grid_, grid.parse_edits(writes))
+    return _grid_text(changed)
+
+
 @query
 def q_parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = grid.parse_cells(derived.customer_grid(spark, sf_dir))

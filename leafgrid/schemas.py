@@ -64,7 +64,3 @@ GRID = StructType(
         StructField("cells", ArrayType(StringType())),
     ]
 )
-
-LISTING_COLUMNS = [
-    "url", "path", "name", "file_type", "modified", "owner", "shared_by", "depth",
-]

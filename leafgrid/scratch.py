@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folder: str | None = None
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,15 +35,33 @@ def folder(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has stored, once its results are used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{folder(spark)}/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that are stored inside, and delete them on leaving.
+
+    For jobs that write their result: it must be written before the scope ends. A
+    scope inside another belongs to it.
+    """
+    path = new_path(spark, "scope")
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    home = _scope.get() or f"{folder(spark)}/{spark.sparkContext.applicationId}"
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.functions.catalog import FOLDER_URL, MY_DRIVE_URL
 from leafgrid.schemas import DRIVE_CATALOG
+from leafgrid.sources.versions import current_version, save_version
 
 
 def read_drives(root: DataFrame, shared: DataFrame) -> DataFrame:
@@ -37,15 +37,17 @@ def read_drives(root: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def save_drives(drives: DataFrame, path: str) -> None:
-    """Write the catalog as JSON, one drive per line."""
-    drives.select(*DRIVE_CATALOG.names).write.mode("overwrite").json(path)
+    """Write the catalog as JSON, one drive per line, in place of the one before.
+
+    Readers find the whole old catalog or the whole new one; a save that fails
+    leaves the old one.
+    """
+    save_version(drives.select(*DRIVE_CATALOG.names), path, "json")
 
 
 def load_drives(spark: SparkSession, path: str) -> DataFrame:
     """Read a saved catalog; a path that does not exist is an empty catalog."""
-    try:
-        return spark.read.schema(DRIVE_CATALOG).json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    version = current_version(spark, path)
+    if version is None:
         return spark.createDataFrame([], DRIVE_CATALOG)
+    return spark.read.schema(DRIVE_CATALOG).json(version)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid import scratch
+
 
 def listing_csv(listing: DataFrame, *keep: str) -> DataFrame:
     """The seven CSV columns, after ``keep``; a path loses all its trailing slashes."""
@@ -68,8 +69,9 @@ WRITERS = {".md": write_folder_map, ".csv": write_listing_csv}
 def save_listing(listing: DataFrame, paths: list[str]) -> bool:
     """Write one listing to several paths from one traversal.
 
-    The extension picks the format. False, and nothing written, when the listing
-    has no rows.
+    The rows are stored once; every writer reads that table, and it is gone when
+    all are done. The extension picks the format. False, and nothing written, when
+    the listing has no rows.
     """
     writers = []
     for path in paths:
@@ -78,15 +80,12 @@ def save_listing(listing: DataFrame, paths: list[str]) -> bool:
             raise ValueError(f"cannot tell the format of {path!r}: use .md or .csv")
         writers.append((found[0], path))
 
-    kept = listing.persist(StorageLevel.DISK_ONLY)
-    try:
-        if kept.isEmpty():
-            return False
-        for write, path in writers:
-            write(kept, path)
-        return True
-    finally:
-        kept.unpersist()
+    with scratch.scope(listing.sparkSession):
+        kept, seen = scratch.measure(listing, "listing", rows=F.count(F.lit(1)))
+        if seen["rows"]:
+            for write, path in writers:
+                write(kept, path)
+    return bool(seen["rows"])
 
 
 def _in_order(listing: DataFrame) -> DataFrame:

@@ -20,6 +20,20 @@ def test_stored_tables_are_read_back_and_cleared(spark):
     assert not os.path.exists(home)
 
 
+def test_a_scope_deletes_what_was_stored_inside(spark):
+    home = f"{scratch.folder(spark)}/{spark.sparkContext.applicationId}"
+    kept = scratch.store(spark.range(3), "kept")
+    before = sorted(os.listdir(home))
+    with pytest.raises(ZeroDivisionError):
+        with scratch.scope(spark):
+            assert scratch.store(spark.range(4), "outer").count() == 4
+            with scratch.scope(spark):
+                scratch.store(spark.range(5), "inner")
+            assert sorted(os.listdir(home)) != before
+            1 / 0
+    assert sorted(os.listdir(home)) == before and kept.count() == 3
+
+
 class Unset:
     def __init__(self, master):
         self.sparkContext = type("Context", (), {"master": master})

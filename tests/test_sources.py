@@ -1,14 +1,19 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 from helpers import catalog, file, folder
 
+from leafgrid import scratch
 from leafgrid.operators.walk import listing
+from leafgrid.schemas import DRIVE_CATALOG, FILE
 from leafgrid.sources.drives import load_drives, read_drives, save_drives
 from leafgrid.sources.listings import save_listing, write_folder_map
 from leafgrid.sources.pages import parse_pages, read_file_pages
-from leafgrid.streaming.pages import append_new_pages, stream_file_pages
+from leafgrid.sources.rejects import split_rejects
+from leafgrid.sources.snapshot import merge_files, read_snapshot
+from leafgrid.streaming.pages import append_new_pages, stream_file_pages, upsert_new_pages
 
 
 def page(*ids, **more):
@@ -47,7 +52,7 @@ def test_new_pages_are_read_once(spark, tmp_path):
     for expected in (1, 1, 3):
         if expected == 3:
             write_pages(tmp_path / "p", two=page("b", "c"))
-        append_new_pages(stream_file_pages(spark, pages), out, mark).awaitTermination()
+        append_new_pages(stream_file_pages(spark, pages, multi_line=True), out, mark).awaitTermination()
         assert spark.read.parquet(out).count() == expected
 
 
@@ -65,6 +70,121 @@ def test_drive_catalog_round_trip(spark, tmp_path):
     ]
 
 
+def drive_rows(spark, *names):
+    rows = [(n, "shared", n, "u", i) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, DRIVE_CATALOG)
+
+
+def test_a_failed_save_leaves_the_old_catalog(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "drives"
+    ids = lambda: sorted(r["id"] for r in load_drives(spark, str(path)).collect())
+    save_drives(drive_rows(spark, "a"), str(path))
+    reader = load_drives(spark, str(path))
+    broken = drive_rows(spark, "b", "c").withColumn("url", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        save_drives(broken, str(path))
+    assert ids() == ["a"]
+    # A version half written by a lost driver has no mark and is not seen.
+    (path / "000000000009-half").mkdir()
+    (path / "000000000009-half" / "part-0.json").write_text("{}")
+    assert ids() == ["a"]
+    save_drives(load_drives(spark, str(path)).union(drive_rows(spark, "d")), str(path))
+    assert ids() == ["a", "d"]
+    # The version before stays for its readers; older ones go.
+    assert reader.count() == 1
+    save_drives(drive_rows(spark), str(path))
+    assert ids() == [] and len(list((path / "_versions").glob("0*"))) == 2
+
+
+def records(spark, *rows):
+    made = [file(i, n, modifiedTime=t) for i, n, t in rows]
+    return catalog(spark, made)
+
+
+def held(spark, path):
+    found = read_snapshot(spark, path).collect()
+    return sorted((r["id"], r["name"], r["modifiedTime"]) for r in found)
+
+
+def test_a_snapshot_keeps_the_latest_record_of_an_id(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    assert read_snapshot(spark, path).collect() == []
+    first = records(
+        spark, ("a", "old", "2024-01-01"), ("a", "new", "2024-02-01"), ("b", "b", None),
+        ("c", "c", "2024-01-01"), ("a", "new", "2024-02-01"), (None, "no id", "2024-01-01"),
+    )
+    merge_files(first, path)
+    start = [("a", "new", "2024-02-01"), ("b", "b", None), ("c", "c", "2024-01-01")]
+    assert held(spark, path) == start
+    merge_files(first, path)
+    merge_files(records(spark), path)
+    assert held(spark, path) == start
+    # Later, at the same time and earlier.
+    merge_files(
+        records(spark, ("a", "late", "2023-01-01"), ("b", "dated", "2020-01-01"),
+                ("c", "renamed", "2024-01-01"), ("d", "d", None)),
+        path,
+    )
+    assert held(spark, path) == [
+        ("a", "new", "2024-02-01"), ("b", "dated", "2020-01-01"),
+        ("c", "renamed", "2024-01-01"), ("d", "d", None),
+    ]
+
+
+def test_drops_are_merged_once_and_survive_a_failed_merge(spark, tmp_path, monkeypatch):
+    from leafgrid.streaming import pages as streaming
+
+    drops, kept, mark = (str(tmp_path / n) for n in ("p", "snapshot", "mark"))
+
+    def run():
+        files = stream_file_pages(spark, drops, multi_line=True)
+        upsert_new_pages(files, kept, mark).awaitTermination()
+        return held(spark, kept)
+
+    write_pages(tmp_path / "p", one=page("a", "b", modifiedTime="2024-01-01"))
+    assert run() == [("a", "A", "2024-01-01"), ("b", "B", "2024-01-01")]
+    write_pages(tmp_path / "p", two=page("b", "c", modifiedTime="2024-03-01"))
+
+    def merged_then_lost(batch, path):
+        merge_files(batch, path)
+        raise OSError("lost")
+
+    monkeypatch.setattr(streaming, "merge_files", merged_then_lost)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(streaming, "merge_files", merge_files)
+    write_pages(tmp_path / "p", again=page("a", "b", modifiedTime="2024-01-01"))
+    assert run() == [
+        ("a", "A", "2024-01-01"), ("b", "B", "2024-03-01"), ("c", "C", "2024-03-01"),
+    ]
+
+
+def test_unreadable_records_are_set_apart(spark):
+    rows = [
+        file("1", "x", modifiedTime="2024-01-31T10:00:00Z", size="12"),
+        file("2", "x", modifiedTime="", size=""),
+        file("3", "x"),
+        file("4", "x", modifiedTime="31.01.2024", size="12 kB"),
+        file("5", "x", modifiedTime="2024-02-31T00:00:00Z"),
+        file("6", "x", size="1" + "0" * 19),
+        file(None, "x", size="1.5"),
+    ]
+    readable, rejects = split_rejects(catalog(spark, rows))
+    assert readable.columns == FILE.names
+    assert sorted(r["id"] for r in readable.collect()) == ["1", "2", "3"]
+    assert sorted((r["id"] or "", r["field"], r["value"], r["reason"]) for r in rejects.collect()) == [
+        ("", "size", "1.5", "no number of bytes"),
+        ("4", "modifiedTime", "31.01.2024", "no date"),
+        ("4", "size", "12 kB", "no number of bytes"),
+        ("5", "modifiedTime", "2024-02-31T00:00:00Z", "no date"),
+        ("6", "size", "1" + "0" * 19, "no number of bytes"),
+    ]
+    readable, rejects = split_rejects(catalog(spark, rows[2:3]))
+    assert (readable.count(), rejects.count()) == (1, 0)
+
+
 def sample(spark):
     return catalog(
         spark,
@@ -83,7 +203,10 @@ def text_of(path):
 def test_one_listing_to_two_sinks(spark, tmp_path):
     rows = listing(sample(spark), "r")
     md, table = tmp_path / "map.md", tmp_path / "data.csv"
+    stored = lambda: {str(p) for p in Path(scratch.folder(spark)).rglob("listing-*")}
+    before = stored()
     assert save_listing(rows, [str(md), str(table)])
+    assert stored() == before
     base = "https://drive.google.com/"
     assert text_of(md) == (
         f'- [dir, with / and "]({base}drive/folders/f)\n'

@@ -97,6 +97,14 @@ def test_a_folder_that_finds_a_file_in_its_place_is_a_conflict(spark):
         assert got == {"same", "same/x"}
 
 
+def test_the_output_folder_is_checked_without_targets(spark):
+    targets = allocated(spark, [file("1", "x", "elsewhere")])
+    present = spark.createDataFrame([("./out", False)], "path string, is_dir boolean")
+    assert targets.count() == 0
+    assert path_conflicts(targets, present).count() == 0
+    assert [r["path"] for r in path_conflicts(targets, present, "out/").collect()] == ["out"]
+
+
 NAMES = [
     "a.txt", "a (1).txt", "a (2).txt", "a (1) (1).txt", "A.txt", "a (01).txt",
     "a", "a (1)", "a (2)", ".env", ".env (1)", "a.", "a. (1)", "a (1). (1)",

@@ -2,7 +2,7 @@ import pytest
 from helpers import DOC, catalog, file, folder
 from pyspark.sql import functions as F
 
-from leafgrid.operators.children import child_edges, list_children, shared_with_me
+from leafgrid.operators.children import child_edges, in_order, list_children, shared_with_me
 from leafgrid.operators.walk import listing, walk_tree, walked_folders
 from leafgrid.sources.listings import folder_map
 
@@ -24,10 +24,10 @@ def test_children_come_folders_first_in_any_case(spark):
             file("7", "else", "q"),
         ],
     )
-    assert [r["name"] for r in list_children(files, "r").collect()] == [
+    assert [r["name"] for r in in_order(list_children(files, "r")).collect()] == [
         "Alpha", "zeta", "A.txt", "b.txt", "team",
     ]
-    user = [r["id"] for r in list_children(files, "r", "user").collect()]
+    user = [r["id"] for r in in_order(list_children(files, "r", "user")).collect()]
     assert user == ["4", "2", "3", "1"]
     with pytest.raises(ValueError):
         list_children(files, "r", "domain")
@@ -43,7 +43,7 @@ def test_shared_items_by_name(spark):
             file("4", "doc", sharedWithMeTime="x", trashed=True),
         ],
     )
-    assert [r["id"] for r in shared_with_me(files).collect()] == ["1", "2"]
+    assert [r["id"] for r in in_order(shared_with_me(files)).collect()] == ["1", "2"]
     assert [r["id"] for r in shared_with_me(files, "DOC").collect()] == ["1"]
 
 
@@ -184,7 +184,7 @@ def test_edges_by_parent_give_the_same_results(spark, tmp_path):
     edges = read_edges(spark, str(tmp_path / "edges"))
     same = lambda df: [(r["id"], r["ancestors"]) for r in df.orderBy("sort_key").collect()]
     assert same(walk_tree(edges, "r")) == same(walk_tree(files, "r"))
-    ids = lambda df: [r["id"] for r in df.collect()]
+    ids = lambda df: [r["id"] for r in in_order(df).collect()]
     assert ids(list_children(edges, "r")) == ids(list_children(files, "r")) == ["1", "2"]
 
 
