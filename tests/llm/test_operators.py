@@ -518,3 +518,51 @@ def test_nearest_gives_the_smallest_ids_of_equal_vectors(spark):
     copies = [q for q in range(0, 600, 20) if (x[q] == 5).all()]
     assert copies and all(found[q] == exact(x, q, 10) for q in copies)
     assert sum(len(set(found[q]) & set(exact(x, q, 10))) for q in range(0, 600, 20)) / 300 >= 0.9
+
+
+def test_nearest_defines_repeated_ids_and_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(100, [9.0] * 9), (120, [9.0] * 7), (140, [9.0]), (141, []), (5, (x[5] + [1] * 8).tolist())]
+    # Of the two vectors of id 5 the smaller counts, in whatever order they come.
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        got = neighbours.nearest(frame, every=20, k=60).collect()
+        assert {r.query_id for r in got} == {0, 20, 40}
+        for q in (0, 20, 40):
+            mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+            assert [r.vec_id for r in mine] == exact(x, q, 59)
+    # Of lengths that are as frequent the smaller counts.
+    pair = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0]), (40, [3.0]), (60, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(pair).collect() if r.query_id == 20] == [(20, 40)]
+
+
+def test_graph_rounds_end_when_little_changes_and_few_queries_read_few_vectors(spark, monkeypatch):
+    x = np.random.default_rng(12).standard_normal((3000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    codes, _ = neighbours.prepare(frame)
+    rounds, kept, share = [], neighbours._round, []
+    monkeypatch.setattr(neighbours, "_round", lambda *a: rounds.append(a[-1]) or kept(*a))
+    graph = neighbours.build_graph(codes, degree=10, start=32)
+    assert 1 < len(rounds) < neighbours.ROUNDS
+    measure = neighbours.measure
+
+    def watch(df, name, *more, **metrics):
+        table, seen = measure(df, name, *more, **metrics)
+        if name == "met":
+            share.append(seen["nodes"] / 3000)
+        return table, seen
+
+    monkeypatch.setattr(neighbours, "measure", watch)
+    asked = [0, 1500]
+    queries = codes.filter(codes.id.isin(asked)).selectExpr("id AS q", "v")
+    found = defaultdict(set)
+    for r in neighbours.search(graph, codes, queries, 11, beam=30, step=10, degree=10).collect():
+        found[r.q].add(r.id)
+    # Within one query's reach, so the few nodes met were picked out first.
+    assert max(share) < neighbours.REACHED
+    assert all(q in found[q] for q in asked)
+    hits = sum(len(found[q] & set(exact(x, q, 10))) for q in asked)
+    assert hits >= 18
