@@ -160,24 +160,40 @@ def format_bytes(n: Column) -> Column:
     """Bytes in the largest fitting unit, one decimal, exact ties to even.
 
     The tenths are counted in whole numbers: rounding the quotient as text or as
-    a double takes some values near a tie the wrong way.
+    a double takes some values near a tie the wrong way. ``n`` may be a decimal or
+    a double beyond the range of BIGINT, below 2**113.
     """
-    size = F.coalesce(n.cast("double").try_cast("long"), n)
+    value = n.cast("double")
+    size = F.coalesce(value.try_cast("long"), n.try_cast("long"))
     out = F.when(size < 1024, F.concat(_tenths(size, 0), F.lit(" B")))
     for power, unit in enumerate((" KB", " MB", " GB", " TB"), start=1):
         text = F.concat(_tenths(size, power), F.lit(unit))
         out = out.when(size < 1024 ** (power + 1), text)
-    return out.otherwise(F.concat(_tenths(size, 5), F.lit(" PB")))
+    out = out.otherwise(F.concat(_tenths(size, 5), F.lit(" PB")))
+    return F.coalesce(out, _beyond_long(value))
+
+
+def _beyond_long(value: Column) -> Column:
+    """Petabytes of a double that no BIGINT holds: whole ones and a rest, both exact."""
+    unit = 1024**5
+    count = F.when((value > 0) & (value < 2.0**63 * unit), value / unit)
+    whole = F.floor(count)
+    tenths = _count_tenths(((count - whole) * unit).cast("long"), 5)
+    return F.concat(whole + F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit(" PB"))
 
 
 def _tenths(size: Column, power: int) -> Column:
+    tenths = _count_tenths(size, power)
+    return F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10)
+
+
+def _count_tenths(size: Column, power: int) -> Column:
     unit = 1024**power
     part = size.bitwiseAND(unit - 1) * 10
     whole = F.shiftright(size, 10 * power) * 10 + F.shiftright(part, 10 * power)
     rest = part.bitwiseAND(unit - 1) * 2
     up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
-    tenths = whole + up.cast("long")
-    return F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10)
+    return whole + up.cast("long")
 
 
 def _col(c: Column | str) -> Column:

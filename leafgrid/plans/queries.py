@@ -445,8 +445,10 @@ def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = derived.table(spark, sf_dir, "orders")
-    # Whole and quarter units, so that exact ties come up in every unit.
-    bytes_ = F.col("o_orderkey") * F.pow(F.lit(2), F.col("o_orderkey") % 44).cast("long")
+    # Whole and quarter units, so that exact ties come up in every unit. A BIGINT
+    # holds these products only for keys below 2**20.
+    unit = F.pow(F.lit(2), F.col("o_orderkey") % 44).cast("long")
+    bytes_ = F.col("o_orderkey").cast("decimal(19,0)") * unit
     return orders.select("o_orderkey", format_bytes(bytes_).alias("size_text"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions import catalog, names
 from leafgrid.functions.cells import quoted_tab, trim_cells
+from leafgrid.plans.queries import QUERIES
 
 
 def each(spark, values, column, schema="v string"):
@@ -126,6 +127,30 @@ def test_sizes_as_text(spark):
     assert got == list(shown.values())
 
 
+def test_sizes_beyond_a_long_as_text(spark):
+    """Exact ties, carries and rests of sizes that no BIGINT holds."""
+    sizes = [2**63, 5 * 2**62 + 2**49, 9 * 2**63 + 2**48, 9_000_000 * 2**43, 8_999_937 * 2**43, 2**112]
+    shown = [f"{float(n) / 2**50:.1f} PB" for n in sizes]
+    wide = F.col("v").cast("decimal(38,0)")
+    assert each(spark, [str(n) for n in sizes], catalog.format_bytes(wide), "v string") == shown
+    assert each(spark, [float(n) for n in sizes], catalog.format_bytes(F.col("v")), "v double") == shown
+    assert each(spark, ["1536", None], catalog.format_bytes(wide), "v string") == ["1.5 KB", None]
+
+
+def test_sizes_of_large_order_keys(spark, tmp_path):
+    keys = [7, 44 * 200_000 - 1, 9_000_001, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    got = QUERIES["q_sizes"](spark, str(tmp_path)).collect()
+    assert {r["o_orderkey"]: r["size_text"] for r in got} == {
+        7: "896.0 B",
+        44 * 200_000 - 1: f"{(44 * 200_000 - 1) / 128:.1f} PB",
+        9_000_001: f"{9_000_001 * 2 ** (9_000_001 % 44) / 2**40:.1f} TB",
+        None: None,
+    }
+
+
 def test_sizes_from_text(spark):
     texts = ["100", " 7 ", "1_000", "NaN", "12.5", "", None, "+3", "-4", "1__0", "9" * 30]
     assert each(spark, texts, catalog.size_in_bytes("v")) == [
