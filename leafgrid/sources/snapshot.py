@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrid import scratch
+from leafgrid import scratch, skew
 from leafgrid.schemas import FILE
 from leafgrid.sources.versions import current_version, save_version
 
@@ -44,12 +44,15 @@ def merge_files(new: DataFrame, path: str) -> None:
     A record replaces the one of its id unless that was modified later, so a drop
     that comes twice, or late, changes nothing. Only the records of ids in the
     drop are grouped; the rest of the snapshot is passed on by an anti-join, which
-    needs no shuffle while the ids of the drop measure small.
+    needs no shuffle while the ids of the drop measure small. Their size is that of
+    the ids as text: their files, compressed, tell too little to broadcast by.
     """
     spark = new.sparkSession
     with scratch.scope(spark):
-        fresh = scratch.store(latest_records(new), "fresh")
-        ids = fresh.select("id")
+        fresh, seen = scratch.measure(
+            latest_records(new), "fresh", size=F.sum(F.octet_length("id") + 64)
+        )
+        ids = skew.sized(fresh.select("id"), seen["size"])
         old = read_snapshot(spark, path)
         known = old.join(ids, "id", "left_semi").withColumn("turn", F.lit(0))
         newest = latest_records(

@@ -5,9 +5,10 @@ from pathlib import Path
 import pytest
 from helpers import catalog, file, folder
 
-from leafgrid import scratch
+from leafgrid import scratch, skew
 from leafgrid.operators.walk import listing
 from leafgrid.schemas import DRIVE_CATALOG, FILE
+from leafgrid.sources import snapshot, versions
 from leafgrid.sources.drives import load_drives, read_drives, save_drives
 from leafgrid.sources.listings import save_listing, write_folder_map
 from leafgrid.sources.pages import parse_pages, read_file_pages
@@ -108,6 +109,23 @@ def held(spark, path):
     return sorted((r["id"], r["name"], r["modifiedTime"]) for r in found)
 
 
+def test_ids_of_a_drop_are_broadcast_by_their_measured_size(spark, tmp_path, monkeypatch):
+    """Files of a few bytes an id must not bring millions of ids to the driver."""
+    saved = []
+    monkeypatch.setattr(
+        snapshot, "save_version",
+        lambda df, *where: saved.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, *where),
+    )
+    save, path = versions.save_version, str(tmp_path / "snapshot")
+    drop = records(spark, *[(f"O{k}", "n", None) for k in range(100)])
+    merge_files(drop, path)
+    for most, joins in ((100 * 60, 0), (100 * 80, 2)):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", most)
+        merge_files(drop, path)
+        assert saved[-1].count("BroadcastHashJoin") == joins
+        assert len(held(spark, path)) == 100
+
+
 def test_a_snapshot_keeps_the_latest_record_of_an_id(spark, tmp_path):
     path = str(tmp_path / "snapshot")
     assert read_snapshot(spark, path).collect() == []
