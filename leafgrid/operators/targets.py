@@ -16,10 +16,12 @@ from leafgrid.functions.names import (
     clean_path, copy_family, copy_origins, numbered, stem, suffix,
 )
 from leafgrid.operators.transfer import entry_path
-from leafgrid.skew import HOT_ROWS, prefix_sum, sized
+from leafgrid.skew import BROADCAST_BYTES, HOT_ROWS, prefix_sum, sized
 
 GROUP = ["dir", "base"]
 FAMILY = ["dir", "family"]
+# A family behind the hash that orders it.
+SPOT = ["spot", *FAMILY]
 BEFORE_THE_WALK = "CAST(array() AS ARRAY<STRUCT<is_file: BOOLEAN, lname: STRING, id: STRING>>)"
 
 
@@ -41,11 +43,11 @@ def allocate_targets(
 
     Most files share their family with nobody. They are set apart by counting
     64-bit hashes of (directory, family), a small fraction of the paths; only
-    the rest is grouped by name. The manifest is read several times: pass one
-    that is stored.
+    the rest is grouped by name. The hashes lead all sorting, too: paths share
+    long beginnings. The manifest is read several times: pass one that is stored.
     """
     files = _with_family(manifest.filter(F.col("action").isin("binary", "export")))
-    held = _with_family(_held_names(manifest, existing))
+    held = scratch.store(_with_family(_held_names(manifest, existing)), "held")
     shared = scratch.store(
         files.select("spot")
         .unionAll(held.select("spot"))
@@ -55,14 +57,7 @@ def allocate_targets(
         .select("spot"),
         "shared-spots",
     )
-    zero = F.lit(0).cast("long")
-    numbers = [files.join(shared, "spot", "left_anti").withColumn("n", zero)]
-    near, seen = scratch.measure(
-        files.join(shared, "spot", "left_semi"), "near", rows=F.count(F.lit(1))
-    )
-    if seen["rows"]:
-        held = held.join(shared, "spot", "left_semi")
-        numbers += _numbered_near(near, held, hot_rows)
+    numbers = _numbered(files, held, shared, hot_rows)
 
     wanted = [*manifest.columns, "n"]
     placed = reduce(DataFrame.unionByName, [df.select(wanted) for df in numbers])
@@ -73,32 +68,35 @@ def allocate_targets(
     )
 
 
-def _numbered_near(
-    near: DataFrame, held: DataFrame, hot_rows: int
+def _numbered(
+    files: DataFrame, held: DataFrame, shared: DataFrame, hot_rows: int
 ) -> list[DataFrame]:
-    """Files that share their family with a name, with their numbers ``n``."""
+    """Files with their numbers ``n``; only those at ``shared`` spots can clash."""
     hot = F.col("biggest") > hot_rows
+    held = held.join(shared, "spot", "left_semi")
     contested, seen = scratch.measure(
-        _contested_families(near, held),
+        _contested_families(files.join(shared, "spot", "left_semi"), held),
         "contested",
         families=F.count(F.lit(1)),
         mixed=F.count_if(F.col("mixed") & ~hot),
         hot=F.max(F.when(hot, F.col("biggest"))),
         hot_mixed=F.count_if(F.col("mixed") & hot),
-        size=F.sum(F.octet_length("dir") + F.octet_length("family") + 64),
+        size=F.sum(F.octet_length("dir") + F.octet_length("family") + 72),
     )
-    contested = sized(contested, seen["size"])
     zero = F.lit(0).cast("long")
-    numbers = [near.join(contested, FAMILY, "left_anti").withColumn("n", zero)]
     if not seen["families"]:
-        return numbers
-    clashing = scratch.store(near.join(contested, FAMILY), "clashing")
-    turn = F.row_number().over(Window.partitionBy(*GROUP).orderBy("sort_key")) - 1
+        return [files.withColumn("n", zero)]
+    contested = sized(contested, seen["size"])
+    numbers = [files.join(contested, SPOT, "left_anti").withColumn("n", zero)]
+    clashing = files.join(contested, SPOT)
+    if seen["size"] > BROADCAST_BYTES:  # else joined anew as cheaply as read
+        clashing = scratch.store(clashing, "clashing")
+    turn = F.row_number().over(Window.partitionBy("spot", *GROUP).orderBy("sort_key")) - 1
     repeated = clashing.filter(~hot & ~F.col("mixed"))
     numbers.append(repeated.withColumn("n", turn.cast("long")))
     if seen["mixed"]:
         which = F.col("mixed") & ~hot
-        taken = held.join(contested.filter(which), FAMILY, "left_semi")
+        taken = held.join(contested.filter(which), SPOT, "left_semi")
         numbers.append(_first_free(clashing.filter(which), taken))
     if seen["hot"]:
         ranked = prefix_sum(
@@ -107,7 +105,7 @@ def _numbered_near(
         numbers.append(ranked.filter(~F.col("mixed")))
     if seen["hot_mixed"]:
         which = F.col("mixed") & hot
-        taken = held.join(contested.filter(which), FAMILY, "left_semi")
+        taken = held.join(contested.filter(which), SPOT, "left_semi")
         mixed = scratch.store(ranked.filter("mixed"), "mixed")
         numbers.append(_settle(mixed, taken, True, hot_rows))
     return numbers
@@ -121,20 +119,20 @@ def _first_free(files: DataFrame, held: DataFrame) -> DataFrame:
     number is tried twice for it. Families follow one another in a partition, and
     only the names of the current one are in memory.
     """
-    rows = files.withColumns(
+    rows = files.withColumnRenamed("sort_key", "key").withColumns(
         {
-            "key": F.col("sort_key"),
             "stem": stem(F.col("base")),
             "suffix": suffix(F.col("base")),
             "is_file": F.lit(True),
         }
     ).unionByName(
-        held.select(*FAMILY, "base", "key", F.lit(False).alias("is_file")),
+        held.select(*SPOT, "base", "key", F.lit(False).alias("is_file")),
         allowMissingColumns=True,
     )
-    in_turn = rows.repartition(*FAMILY).sortWithinPartitions(*FAMILY, "key", "is_file")
+    in_turn = rows.repartition("spot").sortWithinPartitions(*SPOT, "key", "is_file")
     schema = StructType([*in_turn.schema.fields, StructField("n", LongType())])
-    return in_turn.mapInArrow(_number_files, schema).filter("is_file").select(*files.columns, "n")
+    numbered_ = in_turn.mapInArrow(_number_files, schema).filter("is_file")
+    return numbered_.withColumnRenamed("key", "sort_key").select(*files.columns, "n")
 
 
 def _number_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +174,9 @@ def _held_names(manifest: DataFrame, existing: DataFrame | None) -> DataFrame:
         .agg(F.min("sort_key").alias("key"))
     )
     if existing is not None:
-        path = clean_path("path")
+        path = F.col("path")
         above = F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
-        present = existing.select(
+        present = existing.select(clean_path("path").alias("path")).select(
             F.when(~F.contains(path, F.lit("/")), F.lit("."))
             .when(above == "", F.lit("/"))
             .otherwise(above)
@@ -196,11 +194,11 @@ def _contested_families(files: DataFrame, held: DataFrame) -> DataFrame:
     Rows are counted by name first and by family second, both map-side, so one
     name or one family with most of the rows shuffles as a handful of counts.
     """
-    names = files.groupBy("dir", "base", "family").agg(F.count(F.lit(1)).alias("n"))
-    taken = held.select("dir", "base", "family", F.lit(0).alias("n"))
+    names = files.groupBy(*SPOT, "base").agg(F.count(F.lit(1)).alias("n"))
+    taken = held.select(*SPOT, "base", F.lit(0).alias("n"))
     return (
         names.unionByName(taken)
-        .groupBy("dir", "family")
+        .groupBy(*SPOT)
         .agg(
             F.sum("n").alias("files"),
             F.count_if(F.col("n") > 0).alias("names"),
@@ -209,8 +207,7 @@ def _contested_families(files: DataFrame, held: DataFrame) -> DataFrame:
         .filter((F.col("files") > F.col("names")) | (F.col("held") > 0))
         .filter(F.col("files") > 0)
         .select(
-            "dir",
-            "family",
+            *SPOT,
             ((F.col("names") > 1) | (F.col("held") > 0)).alias("mixed"),
             (F.col("files") + F.col("held")).alias("biggest"),
         )

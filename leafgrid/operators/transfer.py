@@ -120,12 +120,16 @@ def path_conflicts(
         targets.filter(F.col("action") == "mkdir")
         .groupBy(entry_path(F.col("dir"), F.col("base")).alias("path"))
         .agg(F.max("sort_key").alias("folder_key"))
+        .withColumn("spot", F.xxhash64("path"))
     )
     taken = targets.filter(F.col("action").isin("binary", "export")).select(
-        F.col("target").alias("path"), F.col("sort_key").alias("file_key")
+        F.xxhash64("target").alias("spot"),
+        F.col("target").alias("path"),
+        F.col("sort_key").alias("file_key"),
     )
+    # Sorted by a hash first: paths share long beginnings.
     earlier = (
-        made.join(taken, "path")
+        made.join(taken, ["spot", "path"])
         .filter(F.col("file_key") < F.col("folder_key"))
         .select("path")
     )

@@ -537,7 +537,7 @@ def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = scratch.store(_manifest(spark, sf_dir, "."), "manifest")
-    present = _present(spark, sf_dir)
+    present = scratch.store(_present(spark, sf_dir), "present")
     placed = scratch.store(targets.allocate_targets(manifest, present), "targets")
     return transfer.path_conflicts(placed, present)
 
