@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from leafgrid import scratch
 
 # UTF-8 bytes of the texts of one chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 * 1024 * 1024
-# Units that a task remembers, and the longest that it does.
-KNOWN_UNITS, LONGEST_KNOWN = 300_000, 64
+CHUNK_BYTES = 4 * 1024 * 1024
+# Units that a task remembers, twice this at most, and the longest that it does.
+# One takes some 400 bytes.
+KNOWN_UNITS, LONGEST_KNOWN = 80_000, 64
 # New units are encoded in runs of about so many characters.
 RUN_CHARS = 65_536
 
@@ -146,6 +147,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[lis
 
 def _measure(left: pa.Table, right: pa.Table) -> pa.Table:
     """The measures of a chunk's texts, from the counts of its pairs."""
+    for aligner in _loaded.values():  # all units are aligned by now
+        aligner.forget()
     is_text = left["key"].is_valid()
     stated, texts = left.filter(pc.invert(is_text)), left.filter(is_text)
     links = stated["unit_links"].combine_chunks().flatten().to_numpy()
@@ -250,8 +253,11 @@ class Aligner:
             groups.append(keep(line) if len(at) else "")
         copies = np.repeat([r[2] for r in rows], [len(at) for at in texts])
         weights = np.bincount(np.concatenate(texts), copies, len(units))
-
-        links = np.frombuffer(b"".join(u[0] for u in units), np.int64)
+        # Units of unsound texts alone have no part in the counts.
+        sizes[weights == 0] = 0
+        links = np.frombuffer(
+            b"".join(u[0] for u, w in zip(units, weights) if w), np.int64
+        )
         used = np.repeat(weights, sizes[:, 0])
         pairs, at = np.unique(links, return_inverse=True)
         counted = np.bincount(at, used, len(pairs)).astype(np.int64)
@@ -297,6 +303,10 @@ class Aligner:
         self.known.update((u, r) for u, r in held.items() if len(u) <= LONGEST_KNOWN)
         return [held[u] for u in units]
 
+    def forget(self) -> None:
+        """Drop the results of units that were remembered."""
+        self.known, self.older = {}, {}
+
     def align(self, units: list[str]) -> list[tuple | None]:
         """Encode and align units, many in one run of numpy work."""
         out: list[tuple | None] = []

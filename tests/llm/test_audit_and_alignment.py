@@ -118,6 +118,21 @@ def test_units_are_encoded_as_in_their_text(monkeypatch):
     assert len(long_) > 10_000
 
 
+def test_measuring_forgets_remembered_units():
+    """A worker that measures chunks needs no unit of those it has aligned."""
+    import pyarrow as pa
+
+    aligner = alignment.load()
+    chunk = aligner.chunk(0, [(b"k", "a few words", 1)], bytes.decode)
+    assert aligner.known
+    left = pa.Table.from_batches([chunk])
+    pairs = left["pairs"].to_pylist()[-1]
+    right = pa.table({"pairs": pairs, "total": [1] * len(pairs), "best": [True] * len(pairs)})
+    out = alignment._measure(left, right)
+    assert out["count_sum"].to_pylist() == out["n_best"].to_pylist() == [left["n_links"].to_pylist()[0]]
+    assert not aligner.known and not aligner.older
+
+
 def test_alignment_of_nothing(docs):
     assert align_tokenizers(docs.filter("false")).collect() == []
     zeros = align_tokenizers(docs.filter("text is null or text = ''"), keep=lambda g: "kept")
