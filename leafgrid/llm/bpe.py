@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 16_384
-# Words whose tokens a task remembers, and the longest that it does.
-KNOWN_WORDS, LONGEST_KNOWN = 600_000, 64
+# Words whose tokens a task remembers, twice this at most, and the longest that it
+# does. One takes some 200 bytes, which an idle worker keeps.
+KNOWN_WORDS, LONGEST_KNOWN = 120_000, 64
 # Tokens on which window and side have to agree.
 AGREE = 2
 SPACES = " \n\t\r"

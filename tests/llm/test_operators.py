@@ -566,3 +566,14 @@ def test_graph_rounds_end_when_little_changes_and_few_queries_read_few_vectors(s
     assert all(q in found[q] for q in asked)
     hits = sum(len(found[q] & set(exact(x, q, 10))) for q in asked)
     assert hits >= 18
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    """What it remembers stays in an idle worker beside the stages that follow."""
+    from leafgrid.llm.bpe import Codec
+    import public_tokenizers
+
+    c = Codec(public_tokenizers.path("word_bpe_49k.json"))
+    for start in range(0, 400_000, 20_000):
+        c.encode([" ".join(f"q{n}" for n in range(start, start + 20_000))])
+    assert len(c.known) + len(c.older) <= 300_000
