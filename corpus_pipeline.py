@@ -16,8 +16,8 @@ from leafgrid.llm.mixing import mix_sources
 from leafgrid.llm.near_dedup import near_duplicates
 from leafgrid.llm.quality import fit_quality, fold, quality_score
 from leafgrid.llm.queries import encoded_digests
-from leafgrid.scratch import store
-from leafgrid.skew import prefix_sum
+from leafgrid.scratch import measure, store
+from leafgrid.skew import prefix_sum, sized
 
 # A document goes if its quality score is below this.
 LEAST_QUALITY = 0.3
@@ -86,11 +86,30 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words, so they are in no mix. Rows that agree in doc_id, text and source are
     taken each by itself.
     """
-    held = docs.withColumn("__hash", F.xxhash64(F.lit(2), "doc_id", "text", "source"))
-    # Equal hashes are numbered, so that every row has a key of its own.
-    held = prefix_sum(held, ["__hash"], ["doc_id"], F.lit(1), "__nth", spread=True)
-    held = held.withColumn("__row", F.concat_ws("-", "__hash", "__nth")).drop("__hash", "__nth")
-    held = store(held, "keyed")
+    held = store(
+        docs.withColumn("__hash", F.xxhash64(F.lit(2), "doc_id", "text", "source")).withColumn(
+            "__at", F.monotonically_increasing_id()
+        ),
+        "keyed",
+    )
+    # Equal hashes are numbered, so that every row has a key of its own. That is done
+    # without the texts, and only numbers above 0 have to find their rows again.
+    nth = prefix_sum(
+        held.select("__hash", "doc_id", "__at"),
+        ["__hash"],
+        ["doc_id", "__at"],
+        F.lit(1),
+        "__nth",
+        spread=True,
+    )
+    again, seen = measure(
+        nth.filter("__nth > 0").select("__at", "__nth"),
+        "again",
+        size=F.count(F.lit(1)) * 40,  # of a broadcast row
+    )
+    held = held.join(sized(again, seen["size"]), "__at", "left")
+    row = F.concat_ws("-", "__hash", F.coalesce("__nth", F.lit(0)))
+    held = held.withColumn("__row", row).drop("__hash", "__at", "__nth")
     pieces = mix_sources(held.select(F.col("__row").alias("doc_id"), "text", "source"))
     # Pieces of one round follow one another: shards cut them.
     rounds = F.transform(
