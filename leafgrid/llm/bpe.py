@@ -10,6 +10,8 @@ a byte-pair encoding depends on adjacent tokens only.
 
 A vocabulary that lowers case and splits words at white space has its words
 encoded once per task and looked up after that; any other encodes whole texts.
+Words of small Latin letters, which it neither changes nor splits, go to its merges
+alone; their last tokens say where they end.
 Without a decoder, decoding joins token strings, which Arrow does.
 """
 
@@ -35,8 +37,11 @@ SPACES = " \n\t\r"
 # New words are encoded this many at a time, with a word of this mark between.
 TOGETHER, MARK = 1_000, "\x01"
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
-# Fixed value: the parts of words that `_words` is right for.
+# The stop or comma stands first, as that is what a search skips to.
+_STOP = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[ \n])")
+# UTF-8 bytes of a-z and of the small letters of Latin-1.
+_PLAIN = bytes([*range(97, 123), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+# Fixed value: the parts of words that `_spaced` is right for.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, "Codec"] = {}
 
@@ -61,7 +66,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_words = _splits_words(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words = _splits_words(spec)
+        self.merges = _merges(spec) if self.by_words else None
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.tokens = None
         if self.tokenizer.decoder is None:
@@ -86,26 +93,41 @@ class Codec:
         if not self.by_words:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, np.int32) for e in found]
-        words = [_words(t) for t in texts]
+        # Arrow splits the texts and numbers their words, so that each distinct one
+        # is looked up once, whatever the number of times that it occurs.
+        lists = pc.ascii_split_whitespace(_strings([_spaced(t) for t in texts]))
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        words = words.tolist()
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
         known, new = self.known, []
-        for w in set().union(*words).difference(known):
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known[w] = ids
+        known[b""] = b""  # beside white space at the ends of a text
+        for w in words:
+            if w not in known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         self._learn(new)
-        get = known.__getitem__
-        found = [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
+        held = list(map(known.__getitem__, words))
         for w in new:
             if len(w) > LONGEST_KNOWN:
                 del known[w]
-        return found
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+        ids = pa.array(np.frombuffer(b"".join(held), np.int32))
+        at = numbered.indices
+        ids = pa.LargeListArray.from_arrays(ends, ids).take(at).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at.to_numpy()])])
+        return np.split(ids, ends[lists.offsets.to_numpy()[1:-1]]) if texts else []
 
     def _learn(self, words: list[bytes]) -> None:
         """Add the ids of words, many to a call; those that could mix, one to a call."""
+        words = self._learn_plain(words)
+        if not words:
+            return
         alone = [w for w in words if b"\x01" in w or b"<|" in w]
         rest = [w for w in words if b"\x01" not in w and b"<|" not in w]
         encode = self.tokenizer.encode_batch_fast
@@ -125,6 +147,28 @@ class Codec:
         for w, e in zip(alone, found):
             self.known[w] = np.array(e.ids, np.int32).tobytes()
 
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Add the ids of words of small Latin letters, and return the others."""
+        if self.merges is None:
+            return words
+        tokenizer, last, level = self.merges
+        plain = [w for w in words if not w.translate(None, _PLAIN)]
+        left = [w for w in words if w.translate(None, _PLAIN)]
+        for start in range(0, len(plain), TOGETHER):
+            part = plain[start : start + TOGETHER]
+            text = b" ".join(part).decode("latin-1").translate(level)
+            ids = np.array(
+                tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32
+            )
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                left += part
+                continue
+            held = ids.tobytes()
+            for w, begin, end in zip(part, [0, *ends], ends):
+                self.known[w] = held[4 * begin : 4 * end]
+        return left
+
     def decode(self, ids: list[np.ndarray]) -> pa.Array:
         """The text of each list of ids."""
         if self.tokens is None:
@@ -194,8 +238,39 @@ def _splits_words(spec: dict) -> bool:
     )
 
 
-def _words(text: str) -> list[bytes]:
-    """Words of a text that can be encoded one by one.
+def _merges(spec: dict):
+    """A vocabulary's merges without its normalizer and rules of splitting.
+
+    Gives a tokenizer that splits at blanks, whether each id ends a word, and the
+    character that stands for each byte but the blank; None for a vocabulary whose
+    tokens do not say that they end a word, or that has tokens beside its merges.
+    """
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+    model = spec["model"]
+    suffix = model.get("end_of_word_suffix")
+    if (
+        model["type"] != "BPE"
+        or not suffix
+        or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix"))
+        or any("<|" not in t["content"] for t in spec["added_tokens"])
+    ):
+        return None
+    dropped = ("normalizer", "pre_tokenizer", "post_processor")
+    tokenizer = Tokenizer.from_str(json.dumps(spec | {k: None for k in dropped}))
+    tokenizer.pre_tokenizer = CharDelimiterSplit(" ")
+    held = tokenizer.get_vocab(with_added_tokens=True)
+    last = np.zeros(max(held.values()) + 1, bool)
+    last[[n for token, n in held.items() if token.endswith(suffix)]] = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(shown)]
+    level = {b: chr(256 + n) for n, b in enumerate(others) if b != 32}
+    return tokenizer, last, level
+
+
+def _spaced(text: str) -> bytes:
+    """A text in which white space parts words that can be encoded one by one.
 
     White space always ends a word, and a stop or comma after a letter or digit
     a part of one. The vocabulary lowers case; that is done here for A-Z, unless
@@ -204,18 +279,33 @@ def _words(text: str) -> list[bytes]:
     raw = text.encode("utf-8")
     if b"<|" not in raw:
         raw = raw.lower()
-    return _STOP.sub(rb" \1", raw).split()
+    return _STOP.sub(rb" \g<0>", raw)
+
 
+def _strings(texts: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(t) for t in texts])
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(texts))]
+    return pa.LargeStringArray.from_buffers(len(texts), *buffers[1:])
 
-# Rows that a task handles at a time.
-STEP = 128
+
+# Bytes of texts that a task encodes at a time, or a longer text, and rows that it
+# decodes at a time.
+STEP_BYTES, STEP = 1024 * 1024, 128
+
+
+def _steps(batch: pa.RecordBatch):
+    """Slices of a batch whose texts hold about ``STEP_BYTES``."""
+    held = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(held // STEP_BYTES)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if start < end:
+            yield batch.slice(start, end - start)
 
 
 def _encode(batches, path, keep, decoded=False):
     c = codec(path)
     for batch in batches:
-        for start in range(0, batch.num_rows, STEP):
-            rows = batch.slice(start, STEP)
+        for rows in _steps(batch):
             ids = c.encode([t or "" for t in rows.column("text").to_pylist()])
             ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
             held = pa.ListArray.from_arrays(ends, np.concatenate(ids))
